@@ -35,9 +35,10 @@ def is_weak() -> Column:
 
 
 def weak_reasons() -> Column:
-    return F.concat_ws(
-        ",",
-        F.when(_or("avg_logprob", DEFAULT_LOGPROB) < WEAK_LOGPROB, "logprob"),
-        F.when(_or("no_speech_prob", DEFAULT_NO_SPEECH) > WEAK_NO_SPEECH, "no_speech"),
-        F.when(_or("compression_ratio", DEFAULT_COMPRESSION) > WEAK_COMPRESSION, "compression"),
+    named = F.concat_ws(
+        ", ",
+        F.when(_or("avg_logprob", DEFAULT_LOGPROB) < WEAK_LOGPROB, "logprob bas"),
+        F.when(_or("no_speech_prob", DEFAULT_NO_SPEECH) > WEAK_NO_SPEECH, "no_speech élevé"),
+        F.when(_or("compression_ratio", DEFAULT_COMPRESSION) > WEAK_COMPRESSION, "compression élevée"),
     )
+    return F.when(named == "", "qualité globale faible").otherwise(named)

@@ -112,32 +112,37 @@ _BARE = r"[.,;:!?…\"'()«»]*"
 def _loop_pattern(n: int) -> str:
     gram = r"\S+ " * (n - 1) + r"\S+"
     spoken = rf"(?!{_BARE}(?: {_BARE}){{{n - 1}}}(?: |$))"
-    return rf"(?<!\S){spoken}({gram})(?: \1){{{LOOP_MIN_REPEATS - 1},}}(?!\S)"
+    return rf"(?<!\S){spoken}({gram})(?: \1(?!\S)){{{LOOP_MIN_REPEATS - 1},}}+"
 
 
 def collapse_loops(text: Column | str) -> Column:
     """Cut an n-gram said four times or more to one and an ellipsis.
 
     Every pass collapses at the shortest size that repeats, and there are at
-    most six passes. The outer test keeps ordinary texts out of the chain.
+    most six passes. A text without any loop comes back as it was.
     """
     t = _col(text)
-    squeezed = F.trim(F.regexp_replace(t, r"\s+", " "))
-    any_loop = "|".join(rf"(?:(?<!\S)(\S+(?: \S+){{{n - 1}}})(?: \{n}){{{LOOP_MIN_REPEATS - 1},}}(?!\S))" for n in range(1, LOOP_MAX_NGRAM + 1))
+    squeezed = F.regexp_replace(F.regexp_replace(t, r"\s+", " "), "^ | $", "")
+    patterns = [_loop_pattern(n) for n in range(1, LOOP_MAX_NGRAM + 1)]
 
     def one_pass(c: Column) -> Column:
-        chain = c
-        for n in range(LOOP_MAX_NGRAM, 0, -1):
-            p = _loop_pattern(n)
-            chain = F.when(c.rlike(p), F.regexp_replace(c, p, "$1 …")).otherwise(chain) if n < LOOP_MAX_NGRAM else F.when(
-                c.rlike(p), F.regexp_replace(c, p, "$1 …")).otherwise(c)
-        return chain
-
-    # A transform over a one-element array binds each pass once.
-    arr = F.array(squeezed)
-    for _ in range(LOOP_MAX_NGRAM):
+        out = c
+        for p in reversed(patterns):
+            out = F.when(c.rlike(p), F.regexp_replace(c, p, "$1 …")).otherwise(out)
+        return out
+
+    # A transform over a one-element array binds each pass once; the passes
+    # after the first only run on a text that has a loop.
+    first = F.transform(F.array(squeezed), one_pass)
+    arr = first
+    for _ in range(LOOP_MAX_NGRAM - 1):
         arr = F.transform(arr, one_pass)
-    return F.when(squeezed.rlike(any_loop), F.element_at(arr, 1)).otherwise(t)
+    looped = F.transform(F.array(squeezed), lambda c: c.rlike("|".join(f"(?:{_numbered(p, i)})" for i, p in enumerate(patterns, 1))))
+    return F.when(F.element_at(looped, 1), F.element_at(arr, 1)).otherwise(t)
+
+
+def _numbered(pattern: str, group: int) -> str:
+    return pattern.replace(r"\1", rf"\{group}")
 
 
 def html_text(raw: Column | str) -> Column:

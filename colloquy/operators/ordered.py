@@ -45,11 +45,13 @@ def scan(
     keys: tuple[str, ...] = ("job_id",),
     order: str = "seq",
     block: Column | None = None,
+    keep_block: bool = False,
 ) -> DataFrame:
     """Add the columns of ``steps``, each as if windowed over all of ``keys``.
 
     ``order`` must be unique within ``keys``, and ``block`` must not decrease
-    along it.
+    along it. ``keep_block`` leaves ``_blk``, on which the result is
+    partitioned, so that a grouping by it needs no further shuffle.
     """
     base = df.withColumn("_blk", block if block is not None else block_of(order))
     for i, s in enumerate(steps):
@@ -116,7 +118,7 @@ def scan(
         else:
             col = F.coalesce(here, there)
         out = out.withColumn(s.name, col)
-    drop = ["_blk"] + [f"_{p}{i}" for i in range(len(steps)) for p in "vlc"]
+    drop = ([] if keep_block else ["_blk"]) + [f"_{p}{i}" for i in range(len(steps)) for p in "vlc"]
     return out.drop(*drop)
 
 
@@ -127,12 +129,13 @@ def islands(
     keys: tuple[str, ...] = ("job_id",),
     order: str = "seq",
     name: str = "island",
+    keep_block: bool = False,
 ) -> DataFrame:
     """Label each row with the order value of the row that opened its run.
 
     ``starts`` is true on the first row of every run.
     """
-    return scan(df, [Step(name, "last", F.when(starts, F.col(order)))], keys=keys, order=order)
+    return scan(df, [Step(name, "last", F.when(starts, F.col(order)))], keys=keys, order=order, keep_block=keep_block)
 
 
 def ordered_text(text: Column | str, order: Column | str, sep: str = " ") -> Column:
