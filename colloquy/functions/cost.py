@@ -40,10 +40,11 @@ def catalogue(spark: SparkSession) -> DataFrame:
     )
 
 
-def half_even(numerator: Column, denominator: int) -> Column:
+def half_even(numerator: Column, denominator: Column | int) -> Column:
     """Whole-number division of a non-negative number, ties to even."""
-    q = F.floor(numerator / F.lit(denominator)).cast("long")
-    r = numerator - q * denominator
+    denominator = denominator if isinstance(denominator, Column) else F.lit(denominator)
+    r = numerator % denominator
+    q = ((numerator - r) / denominator).cast("long")
     up = (r * 2 > denominator) | ((r * 2 == denominator) & (q % 2 == 1))
     return q + F.when(up, 1).otherwise(0).cast("long")
 

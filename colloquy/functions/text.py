@@ -83,24 +83,28 @@ STOCK_LINES = (
 NOISE_COMPRESSION, NOISE_MAX_CHARS = 2.4, 4
 
 
-def is_hold_message(text: Column | str) -> Column:
-    f = fold(norm_text(text))
-    hits = sum((F.when(f.contains(p), 1).otherwise(0) for p in HOLD_PHRASES), F.lit(0))
-    again = [F.regexp_count(f, F.lit(p)) >= 2 for p in HOLD_REPEATED]
-    return (hits >= 2) | again[0] | again[1]
+def bind(value: Column, body) -> Column:
+    """``body(value)`` as a boolean, with ``value`` computed once per row."""
+    return F.exists(F.array(value), body)
+
+
+def is_hold_message(normalized: Column) -> Column:
+    """Hold-line speech: two phrases, or one of the stubborn ones twice."""
+    def spoken(f: Column) -> Column:
+        hits = sum((F.when(f.contains(p), 1).otherwise(0) for p in HOLD_PHRASES), F.lit(0))
+        again = [F.regexp_count(f, F.lit(p)) >= 2 for p in HOLD_REPEATED]
+        return (hits >= 2) | again[0] | again[1]
+
+    return bind(fold(normalized), spoken)
 
 
 def is_hallucination(text: str = "text", compression: str = "compression_ratio") -> Column:
     """Blank, letterless, stock credit, hold message or over-compressed stub."""
     t = F.trim(F.coalesce(F.col(text), F.lit("")))
-    n = norm_text(t)
+    stuffed = F.coalesce(F.col(compression), F.lit(0.0)) >= NOISE_COMPRESSION
     return (
-        (t == "")
-        | ~t.rlike("[A-Za-zÀ-ÖØ-öø-ÿ0-9]")
-        | is_hold_message(t)
-        | n.isin(*STOCK_LINES)
-        | n.startswith("sous titrage")
-        | ((F.coalesce(F.col(compression), F.lit(0.0)) >= NOISE_COMPRESSION) & (F.length(n) <= NOISE_MAX_CHARS))
+        ~t.rlike("[A-Za-zÀ-ÖØ-öø-ÿ0-9]")
+        | bind(norm_text(t), lambda n: n.isin(*STOCK_LINES) | n.startswith("sous titrage") | (stuffed & (F.length(n) <= NOISE_MAX_CHARS)) | is_hold_message(n))
     )
 
 

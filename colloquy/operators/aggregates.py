@@ -48,11 +48,12 @@ def budget_guard(estimates: DataFrame, usage: DataFrame, budget_micro: int) -> D
     spent = usage.groupBy(month_of("created_at").alias("month")).agg(F.sum("cost_micro").alias("spent_micro"))
     rows = estimates.withColumn("month", month_of("created_at")).join(spent, "month", "left")
     used = F.coalesce("spent_micro", F.lit(0).cast("long"))
+    cap = F.lit(budget_micro).cast("long")
     capped = F.lit(budget_micro > 0)
     return rows.select(
         "id", "month", used.alias("spent_micro"), F.col("cost_micro").alias("estimate_micro"),
-        (capped & (used + F.col("cost_micro") > budget_micro)).alias("refused"),
-        (capped & (used * 100 >= F.lit(80) * budget_micro)).alias("near_cap"),
+        (capped & (used + F.col("cost_micro") > cap)).alias("refused"),
+        (capped & (used * 100 >= cap * 80)).alias("near_cap"),
     )
 
 
