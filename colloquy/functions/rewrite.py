@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import fold, nfc
+from colloquy.functions.text import bind, fold, nfc
 
 # Spoken hours.
 HOURS = {
@@ -169,25 +169,27 @@ def _strip_chars(c: Column, chars: str) -> Column:
 
 def file_stem(c: Column | str, fallback: str = "") -> Column:
     """A name safe for a file, 80 characters at most, cut at a word."""
-    t = _strip_chars(F.regexp_replace(F.regexp_replace(c, r'[<>:"/\\|?*\x00-\x1f]', " "), r"\s+", " "), r" .\-_")
-    head = F.substring(t, 1, 80)
-    cut = _strip_chars(F.regexp_replace(head, r" [^ ]*$", ""), r" .\-_")
-    return F.coalesce(F.nullif(F.when(F.length(t) > 80, cut).otherwise(t), F.lit("")), F.lit(fallback))
+    plain = _strip_chars(F.regexp_replace(F.regexp_replace(c, r'[<>:"/\\|?*\x00-\x1f]', " "), r"\s+", " "), r" .\-_")
+
+    def named(t: Column) -> Column:
+        cut = _strip_chars(F.regexp_replace(F.substring(t, 1, 80), r" [^ ]*$", ""), r" .\-_")
+        return F.coalesce(F.nullif(F.when(F.length(t) > 80, cut).otherwise(t), F.lit("")), F.lit(fallback))
+
+    return F.element_at(F.transform(F.array(plain), named), 1)
 
 
 def is_useful_title(title: Column | str, fallback: Column | str | None = None) -> Column:
     """Three to twelve words that name a topic (fn_title_useful)."""
-    t = file_stem(title)
-    words = F.size(F.filter(F.split(t, " "), lambda w: w != ""))
-    low = F.lower(t)
-    ok = (
-        words.between(TITLE_MIN_WORDS, TITLE_MAX_WORDS) & F.length(t).between(TITLE_MIN_CHARS, TITLE_MAX_CHARS)
-        & ~low.rlike("(?U)" + SENTENCE_START) & ~low.rlike("(?U)" + FIRST_PERSON)
-    )
-    if fallback is None:
-        return ok
-    other = file_stem(fallback)
-    return ok & ~((other != "") & (low == F.lower(other)))
+    def named(t: Column) -> Column:
+        low = F.lower(t)
+        ok = (
+            F.length(t).between(TITLE_MIN_CHARS, TITLE_MAX_CHARS)
+            & F.size(F.filter(F.split(t, " "), lambda w: w != "")).between(TITLE_MIN_WORDS, TITLE_MAX_WORDS)
+            & ~low.rlike("(?U)" + SENTENCE_START) & ~low.rlike("(?U)" + FIRST_PERSON)
+        )
+        return ok if fallback is None else ok & bind(file_stem(fallback), lambda f: (f == "") | (low != F.lower(f)))
+
+    return bind(file_stem(title), named)
 
 
 # Separators between a company and a topic, tried in this order.

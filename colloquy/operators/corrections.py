@@ -8,6 +8,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy import stage
 from colloquy.functions.phonetic import phonetic_key
 from colloquy.functions.text import fold
 from colloquy.operators.glossary import close_pairs
@@ -43,8 +44,10 @@ def betrayed(corrections: DataFrame, terms: DataFrame) -> DataFrame:
     first term that sounds like the original decides: it must be in the
     replacement. Keys meet through shared deletions.
     """
-    c = corrections.select("id", "original", "replacement").withColumn("key", phonetic_key("original")).where(F.col("key") != "")
-    t = terms.select(F.trim("term").alias("term"), "pos").where(F.col("term") != "").withColumn("term_key", phonetic_key("term")).where(F.col("term_key") != "")
+    c = corrections.select("id", "original", "replacement").withColumn("key", phonetic_key("original"))
+    c = stage.cut(c, "originals").where(F.col("key") != "")
+    t = terms.select(F.trim("term").alias("term"), "pos").where(F.col("term") != "").withColumn("term_key", phonetic_key("term"))
+    t = stage.cut(t, "terms").where(F.col("term_key") != "")
     keys = close_pairs(c, "key", t, "term_key", BETRAY_EDITS).drop("distance")
     first = c.join(keys, "key").join(t, "term_key").groupBy("id").agg(F.min_by("term", "pos").alias("term"), F.first("replacement").alias("replacement"))
     kept = (matching_form("term") != "") & F.contains(matching_form("replacement"), matching_form("term"))

@@ -136,7 +136,8 @@ def first_phrases(spark, sf):
 
 @query("fn_title_useful", rf"""
     WITH t AS (SELECT doc_id, {_FIRST} AS title FROM documents),
-    c AS (SELECT doc_id, title, trim(regexp_replace(regexp_replace(title, '[<>:"/\\|?*]', ' ', 'g'), '\s+', ' ', 'g'), ' .-_') AS s FROM t)
+    c0 AS (SELECT doc_id, title, trim(regexp_replace(regexp_replace(title, '[<>:"/\\|?*]', ' ', 'g'), '\s+', ' ', 'g'), ' .-_') AS s FROM t),
+    c AS (SELECT doc_id, title, CASE WHEN length(s) > 80 THEN trim(regexp_replace(left(s, 80), ' [^ ]*$', ''), ' .-_') ELSE s END AS s FROM c0)
     SELECT doc_id, title FROM c WHERE len(string_split(s, ' ')) BETWEEN 3 AND 12 AND length(s) BETWEEN 12 AND 80
       AND NOT regexp_matches(lower(s), '^(j[''’ ]|(je|tu|vous|nous|on|il faut|c''est|c’est|voilà|alors|du coup|là)([^\p{{L}}\p{{N}}_]|$))')
       AND NOT regexp_matches(lower(s), '(^|[^\p{{L}}\p{{N}}_])(j[''’]ai|je suis|je vais|j''aimerais|j’aimerais|on va|nous allons)([^\p{{L}}\p{{N}}_]|$)')""")
