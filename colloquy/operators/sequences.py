@@ -72,7 +72,8 @@ def _repeats(segments: DataFrame) -> DataFrame:
     it say the same.
     """
     cleaned = segments.where(~is_hallucination()).withColumn("text", collapse_loops(F.trim("text")))
-    cleaned = cleaned.withColumn("norm", norm_text("text"))
+    # Written once: two scans read it four times, and its text rules are dear.
+    cleaned = stage.cut(cleaned.withColumn("norm", norm_text("text")), "cleaned")
     one = scan(cleaned, [Step("_p1", "lag", F.col("norm"))])
     same = (F.col("norm") != "") & F.coalesce(F.col("norm") == F.col("_p1"), F.lit(False))
     two = scan(one, [
