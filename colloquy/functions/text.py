@@ -114,7 +114,7 @@ _BARE = r"[.,;:!?…\"'()«»]*"
 
 
 def _loop_pattern(n: int) -> str:
-    gram = r"\S+ " * (n - 1) + r"\S+"
+    gram = r"\S++ " * (n - 1) + r"\S++"
     spoken = rf"(?!{_BARE}(?: {_BARE}){{{n - 1}}}(?: |$))"
     return rf"(?<!\S){spoken}({gram})(?: \1(?!\S)){{{LOOP_MIN_REPEATS - 1},}}+"
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy import stage
 from colloquy.functions.text import fold, nfc
 from colloquy.operators.ordered import Step, ordered_text, scan
 
@@ -352,11 +353,13 @@ def new_terms(known: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(have, ["job_id", "_k"], "left_anti").drop("_k")
 
 
-MAX_QUERIES, TITLE_CHARS, SNIPPET_CHARS, GRAM = 12, 120, 240, 3
+MAX_QUERIES, TITLE_CHARS, SNIPPET_CHARS, GRAM = 12, 120, 240, 4
 
 
-def _grams(c: Column, n: int = GRAM) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+def _pieces(c: Column, sizes: list[int]) -> Column:
+    """Every distinct piece of ``c`` of the given sizes."""
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+    return F.array_distinct(F.flatten(F.array(*[cut(n) for n in sizes])))
 
 
 def confirm_entities(candidates: DataFrame, known: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -365,26 +368,36 @@ def confirm_entities(candidates: DataFrame, known: DataFrame, corpus: DataFrame)
     ``candidates``: id, rank, term. ``known``: term. ``corpus``: source_id,
     title, text. Known terms take no place among the twelve looked up.
 
-    No pair of candidate and text is tested unless they share a key: a
-    several-word name must have a text word that begins like its last word, a
-    one-word name must share its first three letters somewhere inside a word.
+    Names meet the corpus's distinct words, not its texts. A one-word name
+    lies within a word, so its first text is the first text of such a word.
+    For a longer name the texts with a word that begins like its last one are
+    looked through.
     """
     folded = candidates.withColumn("f", fold("term"))
     have = known.select(fold("term").alias("f")).distinct()
     w = Window.partitionBy("id").orderBy("rank")
     asked = folded.join(have, "f", "left_anti").withColumn("_q", F.row_number().over(w)).where(F.col("_q") <= MAX_QUERIES)
-    last = F.element_at(F.split("f", " "), -1)
-    terms = asked.select("f").distinct().select(
-        "f", F.when(F.col("f").contains(" "), F.concat(F.lit("^"), F.substring(last, 1, GRAM))).otherwise(F.substring("f", 1, GRAM)).alias("key"))
-    hay = corpus.select("source_id", "title", "text", fold(F.concat_ws(" ", "title", "text")).alias("hay"))
-    vocabulary = F.array_distinct(F.split("hay", r"\s+"))
-    starts = F.flatten(F.transform(vocabulary, lambda t: F.array(*[F.concat(F.lit("^"), F.substring(t, 1, n)) for n in range(1, GRAM + 1)])))
-    inside = F.flatten(F.transform(vocabulary, lambda t: _grams(t)))
-    keys = hay.select("source_id", F.explode(F.array_distinct(F.concat(starts, inside))).alias("key")).join(terms.select("key").distinct(), "key", "left_semi")
-    maybe = keys.join(terms, "key").select("source_id", "f").distinct()
-    hits = maybe.join(hay, "source_id").where(F.col("hay").contains(F.col("f"))).groupBy("f").agg(
-        F.min_by(F.struct(F.substring("title", 1, TITLE_CHARS).alias("citation"), F.substring("text", 1, SNIPPET_CHARS).alias("snippet"), "source_id"), "source_id").alias("h"))
-    return asked.join(hits, "f").select("id", "rank", "term", "h.source_id", "h.citation", "h.snippet")
+    names = asked.select("f").distinct().withColumn("last", F.element_at(F.split("f", " "), -1))
+    hay = corpus.select("source_id", fold(F.concat_ws(" ", "title", "text")).alias("hay"))
+    words = hay.select("source_id", F.explode(F.array_distinct(F.split("hay", r"\s+"))).alias("word")).where(F.col("word") != "")
+    first = stage.cut(words.groupBy("word").agg(F.min("source_id").alias("source_id")), "vocabulary")
+
+    single = names.where(~F.col("f").contains(" ")).withColumn("key", F.substring("f", 1, GRAM))
+    sizes = list(range(1, GRAM + 1))
+    inside = first.withColumn("key", F.explode(_pieces(F.col("word"), [GRAM]))).join(single.where(F.length("f") >= GRAM), "key")
+    tiny = first.withColumn("key", F.explode(_pieces(F.col("word"), sizes[:-1]))).join(single.where(F.length("f") < GRAM), "key")
+    one = inside.unionByName(tiny).where(F.col("word").contains(F.col("f"))).groupBy("f").agg(F.min("source_id").alias("source_id"))
+
+    phrase = names.where(F.col("f").contains(" ")).withColumn("key", F.substring("last", 1, GRAM))
+    heads = first.select("word", F.explode(F.array_distinct(F.array(*[F.substring("word", 1, n) for n in sizes]))).alias("key"))
+    near = heads.join(phrase, "key").where(F.startswith("word", "last")).select("word", "f")
+    texts = words.join(near, "word").select("source_id", "f").distinct().join(hay, "source_id").where(F.col("hay").contains(F.col("f")))
+    more = texts.groupBy("f").agg(F.min("source_id").alias("source_id"))
+
+    hits = one.unionByName(more)
+    cited = corpus.join(hits.select("source_id").distinct(), "source_id", "left_semi").select(
+        "source_id", F.substring("title", 1, TITLE_CHARS).alias("citation"), F.substring("text", 1, SNIPPET_CHARS).alias("snippet"))
+    return asked.join(hits, "f").join(cited, "source_id").select("id", "rank", "term", "source_id", "citation", "snippet")
 
 
 EXACT, FULL_PREFIX, TOKEN_PREFIX, SUBSTRING, NONE = 4, 3, 2, 1, 0
@@ -405,14 +418,6 @@ def name_strength(query: Column, candidate: Column) -> Column:
     )
 
 
-def _name_keys(c: Column) -> Column:
-    """Every piece of a name that a query's first characters (eight at most) can be."""
-    lengths = F.array(*[F.lit(n) for n in range(1, KEY_CHARS + 1)])
-    pieces = F.flatten(F.transform(lengths, lambda n: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n))))
-    return F.array_distinct(pieces)
-
-
 def name_matches(queries: DataFrame, profiles: DataFrame) -> DataFrame:
     """Pairs of query and profile whose names line up, with the strength.
 
@@ -424,7 +429,9 @@ def name_matches(queries: DataFrame, profiles: DataFrame) -> DataFrame:
     q = q.withColumn("key", F.substring("q", 1, KEY_CHARS))
     names = profiles.select("profile_id", "name", "updated_at", F.explode(F.array_distinct(F.filter(
         F.array(fold_name("name"), fold_name(F.coalesce("alias", F.lit("")))), lambda n: n != ""))).alias("n"))
-    names = names.withColumn("key", F.explode(_name_keys(F.col("n"))))
+    # Which of the eight key sizes occur: eight numbers at most.
+    sizes = sorted(r[0] for r in q.select(F.length("key")).distinct().collect())
+    names = names.withColumn("key", F.explode(_pieces(F.col("n"), sizes or [1])))
     return q.join(names, "key").withColumn("s", name_strength(F.col("q"), F.col("n"))).where(F.col("s") > NONE).groupBy(
         "query_id", "profile_id").agg(F.max("s").alias("strength"), F.first("name").alias("name"), F.first("updated_at").alias("updated_at"))
 

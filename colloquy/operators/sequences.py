@@ -229,87 +229,73 @@ def absorb_orphans(segments: DataFrame) -> DataFrame:
 MICRO_MS, MICRO_GAP_MS = 400, 1_000
 
 
-def _settle_micro(pdf, min_ms: int, gap_ms: int):
-    """Merge and absorb the short turns of a few runs; each run is independent.
+def _settle_run(turns, left, right, min_ms: int, gap_ms: int):
+    """Merge and absorb the short turns between two long ones.
 
-    A run is the short turns between two long ones. Only the left long turn's
-    end and the right long turn's start can change, so they come in as columns
-    and go out as rows of kind 'end' and 'start'.
+    Only the left long turn's end and the right one's start can change: they
+    come in as edges and go out as rows of kind 'end' and 'start'.
     """
-    import pandas as pd
-
-    out = []
-    for (job, run), rows in pdf.sort_values("seq").groupby(["job_id", "run"], sort=False):
-        first = rows.iloc[0]
-        items = [[int(r.start_ms), int(r.end_ms), r.speaker, int(r.seq), False] for r in rows.itertuples()]
-        if pd.notna(first["l_end"]):
-            items.insert(0, [None, int(first["l_end"]), first["l_speaker"], -1, True])
-        if pd.notna(first["r_start"]):
-            items.append([int(first["r_start"]), None, first["r_speaker"], -2, True])
-
-        def short(t):
-            return not t[4] and t[1] - t[0] < min_ms
-
-        i = 0
-        while i < len(items):
-            t = items[i]
-            if not short(t):
-                i += 1
-                continue
-            p = items[i - 1] if i else None
-            n = items[i + 1] if i + 1 < len(items) else None
-            if p is not None and p[2] == t[2] and t[0] - p[1] <= gap_ms:
-                p[1] = max(p[1], t[1])
-                items.pop(i)
-            elif n is not None and n[2] == t[2] and n[0] - t[1] <= gap_ms:
-                n[0] = min(n[0], t[0])
-                items.pop(i)
-            else:
-                i += 1
-        i = 0
-        while i < len(items):
-            t = items[i]
-            if not short(t) or len(items) == 1:
-                i += 1
-                continue
-            to_prev = t[0] - items[i - 1][1] if i else float("inf")
-            to_next = items[i + 1][0] - t[1] if i + 1 < len(items) else float("inf")
-            if to_prev <= to_next:
-                items[i - 1][1] = max(items[i - 1][1], t[1])
-            else:
-                items[i + 1][0] = min(items[i + 1][0], t[0])
+    items = [[int(t["start_ms"]), int(t["end_ms"]), t["speaker"], int(t["seq"]), "turn"] for t in turns]
+    if left is not None:
+        items.insert(0, [None, int(left["end_ms"]), left["speaker"], int(left["seq"]), "end"])
+    if right is not None:
+        items.append([int(right["start_ms"]), None, right["speaker"], int(right["seq"]), "start"])
+
+    def short(t):
+        return t[4] == "turn" and t[1] - t[0] < min_ms
+
+    i = 0
+    while i < len(items):
+        t = items[i]
+        p = items[i - 1] if i else None
+        n = items[i + 1] if i + 1 < len(items) else None
+        if not short(t):
+            i += 1
+        elif p is not None and p[2] == t[2] and t[0] - p[1] <= gap_ms:
+            p[1] = max(p[1], t[1])
             items.pop(i)
-        for start, end, speaker, seq, long in items:
-            if not long:
-                out.append((job, "turn", seq, speaker, start, end))
-            elif seq == -1:
-                out.append((job, "end", int(first["l_seq"]), None, None, end))
-            else:
-                out.append((job, "start", int(first["r_seq"]), None, start, None))
-    frame = pd.DataFrame(out, columns=["job_id", "kind", "seq", "speaker", "start_ms", "end_ms"])
-    return frame.astype({"start_ms": "Int64", "end_ms": "Int64"})
+        elif n is not None and n[2] == t[2] and n[0] - t[1] <= gap_ms:
+            n[0] = min(n[0], t[0])
+            items.pop(i)
+        else:
+            i += 1
+    i = 0
+    while i < len(items):
+        t = items[i]
+        if not short(t) or len(items) == 1:
+            i += 1
+            continue
+        to_prev = t[0] - items[i - 1][1] if i else float("inf")
+        to_next = items[i + 1][0] - t[1] if i + 1 < len(items) else float("inf")
+        if to_prev <= to_next:
+            items[i - 1][1] = max(items[i - 1][1], t[1])
+        else:
+            items[i + 1][0] = min(items[i + 1][0], t[0])
+        items.pop(i)
+    return [(kind, seq, speaker, start, end) for start, end, speaker, seq, kind in items]
 
 
 def fuse_micro_turns(turns: DataFrame, min_ms: int = MICRO_MS, gap_ms: int = MICRO_GAP_MS) -> DataFrame:
     """Turns without flickers: short ones merged or absorbed, neighbours joined (fold_micro_turns).
 
-    Long turns split a recording into independent runs of short ones, so
-    Python sees only the short turns, in groups of a bounded stretch of the
-    sequence. The last pass joins same-speaker turns against the running
+    Long turns split a recording into independent runs of short ones. A run
+    is one row, and Python sees nothing but these runs. The last pass joins same-speaker turns against the running
     largest end, as an island over scans.
     """
     cols = ["job_id", "seq", "speaker", "start_ms", "end_ms"]
     long = F.col("end_ms") - F.col("start_ms") >= min_ms
     me = F.when(long, F.struct("seq", "speaker", "start_ms", "end_ms"))
     rows = scan(turns.select(*cols), [Step("_l", "last_before", me), Step("_r", "next", me)])
-    short = rows.where(~long).select(
-        *cols, F.coalesce("_l.seq", F.lit(-1).cast("long")).alias("run"),
-        F.col("_l.seq").alias("l_seq"), F.col("_l.speaker").alias("l_speaker"), F.col("_l.end_ms").alias("l_end"),
-        F.col("_r.seq").alias("r_seq"), F.col("_r.speaker").alias("r_speaker"), F.col("_r.start_ms").alias("r_start"))
-    settled = (
-        short.withColumn("_c", F.floor(F.col("run") / 1024)).groupBy("job_id", "_c")
-        .applyInPandas(lambda pdf: _settle_micro(pdf, min_ms, gap_ms), "job_id long, kind string, seq long, speaker string, start_ms long, end_ms long")
-    )
+    run = rows.where(~long).groupBy("job_id", F.coalesce("_l.seq", F.lit(-1).cast("long")).alias("run")).agg(
+        F.sort_array(F.collect_list(F.struct("seq", "speaker", "start_ms", "end_ms"))).alias("turns"), F.first("_l").alias("l"), F.first("_r").alias("r"))
+
+    def settle(frames):
+        for pdf in frames:
+            pdf["out"] = [_settle_run(t, l, r, min_ms, gap_ms) for t, l, r in zip(pdf["turns"], pdf["l"], pdf["r"])]
+            yield pdf[["job_id", "out"]]
+
+    out = "job_id long, out array<struct<kind:string,seq:long,speaker:string,start_ms:long,end_ms:long>>"
+    settled = run.select("job_id", "turns", "l", "r").mapInPandas(settle, out).select("job_id", F.inline("out"))
     settled = stage.cut(settled, "micro")
     end = settled.where("kind = 'end'").select("job_id", "seq", F.col("end_ms").alias("_e"))
     start = settled.where("kind = 'start'").select("job_id", "seq", F.col("start_ms").alias("_s"))
@@ -446,7 +432,7 @@ def split_plain_text(texts: DataFrame) -> DataFrame:
     Each sentence gets its share of the words, half a second at least. The
     window is over the sentences of one text.
     """
-    words = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    words = lambda c: F.regexp_count(c, F.lit(r"\S+"))
     pieces = F.filter(F.transform(F.split(F.trim("text"), SENTENCE_END), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
     rows = texts.withColumn("_p", pieces).withColumn(
         "_total", F.greatest(F.aggregate("_p", F.lit(0), lambda a, p: a + words(p)), F.lit(1))
