@@ -56,9 +56,11 @@ def betrayed(corrections: DataFrame, terms: DataFrame) -> DataFrame:
 
 def _folded(text: str):
     """The matching form of a text and where each of its characters came from."""
-    chars, at, space = [], [], True
+    chars, at, space, base = [], [], True, {}
     for i, ch in enumerate(text):
-        for sub in "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c)).lower():
+        if ch not in base:
+            base[ch] = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c)).lower()
+        for sub in base[ch]:
             if sub.isspace():
                 if space:
                     continue
@@ -84,11 +86,12 @@ def _order(c) -> tuple:
 
 def _apply(text: str, corrections):
     """Corrections of one text in time order; a later one sees the earlier edits."""
-    log = []
+    log, folded = [], None
     for c in sorted(corrections, key=_order):
         reason, n = c["early"], 0
         if reason is None:
-            form, at = _folded(text)
+            folded = folded or _folded(text)
+            form, at = folded
             want, spots, start = _form(c["original"]), [], 0
             while (p := form.find(want, start)) >= 0:
                 spots.append((at[p], at[p + len(want) - 1] + 1))
@@ -98,7 +101,7 @@ def _apply(text: str, corrections):
             spots = spots[:MAX_OCCURRENCES]
             for a, b in reversed(spots):
                 text = text[:a] + c["replacement"].strip() + text[b:]
-            n = len(spots)
+            n, folded = len(spots), None
         log.append((c["seq"], "applied" if reason is None else reason, n))
     return text, log
 

@@ -40,7 +40,8 @@ def fn_edit_distance(spark, sf):
     from colloquy.operators.glossary import close_pairs
 
     letters = lambda c: F.regexp_replace(T.fold(c), "[^a-z]", "")
-    words = document_words(spark, sf).select(letters("word").alias("word")).where(F.col("word") != "").distinct()
+    plain = F.transform(F.split(T.fold("text"), r"[\s|.,;:!?()\"]+"), lambda w: F.regexp_replace(w, "[^a-z]", ""))
+    words = V.table(spark, sf, "documents").select(F.explode(F.array_distinct(plain)).alias("word")).where(F.col("word") != "").distinct()
     terms = V.glossary(spark, sf).select(letters("term").alias("term")).where(F.col("term") != "").distinct()
     pairs = close_pairs(words, "word", terms, "term")
     longest = F.greatest(F.length("word"), F.length("term"))
