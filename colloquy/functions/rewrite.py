@@ -233,4 +233,4 @@ def meeting_instant(text: Column | str) -> Column:
 
 
 def utc_text(ts: Column | str) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd HH:mm:ss")

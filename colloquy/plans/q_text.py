@@ -335,3 +335,11 @@ def topk_fallback_models(spark, sf):
     values = ", ".join(f"('{f}', '{m}', {r})" for f, m, r in FALLBACKS)
     fallbacks = spark.sql(f"SELECT * FROM VALUES {values} AS t(family, fallback, rank)")
     return R.fallback_models(V.api_usage(spark, sf).select("model").distinct(), catalogue(spark), fallbacks)
+
+
+@query("fold_text_chunks")
+def fold_text_chunks(spark, sf):
+    """Windows of 4 000 characters, as few documents reach the default of 22 000."""
+    from colloquy.operators.chunks import text_chunks
+
+    return text_chunks(V.table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], 4_000, 300)
