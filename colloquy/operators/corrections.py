@@ -49,9 +49,10 @@ def betrayed(corrections: DataFrame, terms: DataFrame) -> DataFrame:
     t = terms.select(F.trim("term").alias("term"), "pos").where(F.col("term") != "").withColumn("term_key", phonetic_key("term"))
     t = stage.cut(t, "terms").where(F.col("term_key") != "")
     keys = close_pairs(c, "key", t, "term_key", BETRAY_EDITS).drop("distance")
-    first = c.join(keys, "key").join(t, "term_key").groupBy("id").agg(F.min_by("term", "pos").alias("term"), F.first("replacement").alias("replacement"))
+    # The deciding term is found once per distinct key, not per correction.
+    decides = keys.join(t, "term_key").groupBy("key").agg(F.min_by("term", "pos").alias("term"))
     kept = (matching_form("term") != "") & F.contains(matching_form("replacement"), matching_form("term"))
-    return first.where(~kept).select("id", "term")
+    return c.join(decides, "key").where(~kept).select("id", "term")
 
 
 def _folded(text: str):
