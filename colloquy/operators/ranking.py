@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.cost import half_even
-from colloquy.operators.aggregates import cooccurrence, distinct_run_terms, term_usage
+from colloquy.operators.aggregates import distinct_run_terms, term_usage
 
 # Upload window, tolerance and smallest window in seconds.
 WINDOW_S, TOLERANCE_S, MIN_WINDOW_S = 1_800, 300, 60

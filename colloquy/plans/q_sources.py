@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from colloquy import stage
 from colloquy import views as V
 from colloquy.functions.clock import clock_short
-from colloquy.operators import corrections as K
 from colloquy.operators import sequences as S
 from colloquy.plans.q_sequences import REPEATS
-from colloquy.plans.q_text import _EVAL, eval_cases, glossary_entries
+from colloquy.plans.q_text import _EVAL, eval_cases
 from colloquy.plans.registry import query
 from colloquy.sources import payloads as P
 from colloquy.sources import render as R

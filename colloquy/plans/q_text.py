@@ -11,7 +11,7 @@ from colloquy.operators import glossary as G
 from colloquy.operators import joins as J
 from colloquy.operators import mining as N
 from colloquy.operators import ranking as R
-from colloquy.plans.q_functions import document_words, first_phrases
+from colloquy.plans.q_functions import document_words
 from colloquy.plans.q_joins import crm
 from colloquy.plans.registry import query
 
