@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, langid, simhash
+from colloquy.llm import bpe, chunk_dedup, langid, simhash, winnow
 from colloquy.llm.registry import query, table
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
@@ -14,6 +14,12 @@ def hex64(column: str):
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
+@query("op3_chunk_dedup")
+def op3_chunk_dedup(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return chunk_dedup.without_repeats(docs, spans="removed")
+
+
 @query("op4_bpe_codec")
 def op4_bpe_codec(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.col("text"))
@@ -32,6 +38,13 @@ def op7_simhash_near_copies(spark, sf):
     return groups.select("doc_id", hex64("fp").alias("fingerprint"), "component_id")
 
 
+@query("op9_winnowed_benchmark")
+def op9_winnowed_benchmark(spark, sf):
+    judged = winnow.hits(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+    joined = F.array_join("item_ids", ",")
+    return judged.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(joined.cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 @query("op10_language_id")
 def op10_language_id(spark, sf):
     docs = table(spark, sf, "documents")
