@@ -27,8 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Distinct words that a task remembers, and texts that leave a task at once.
-WORDS_AT_ONCE = 400_000
+#: Distinct words that a task remembers, new ones that are merged at once, texts that are encoded and that leave a task at once.
+WORDS_HELD = 300_000
+WORDS_AT_ONCE = 60_000
+TEXTS_TOGETHER = 2_048
 TEXTS_AT_ONCE = 256
 
 
@@ -184,16 +186,16 @@ class _Words(dict):
 def _numbered(text: str | None, v: Vocabulary, known: _Words) -> np.ndarray:
     """Word numbers of a text; special tokens written in it are -1 - id."""
     if not text:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     parts = v.split_special.split(text) if v.split_special else [text]
     out = []
     for k, part in enumerate(parts):
         if k % 2:
-            out.append(np.array([-1 - v.special[part]], np.int64))
+            out.append(np.array([-1 - v.special[part]], np.int32))
         elif part:
             found = v.split_words(v.normal(part))
-            out.append(np.fromiter(map(known.__getitem__, found), np.int64, len(found)))
-    return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.int64)
+            out.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
+    return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
 def _gather(numbers: np.ndarray, ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -213,7 +215,7 @@ def _gather(numbers: np.ndarray, ids: np.ndarray, first: np.ndarray, size: np.nd
 
 
 class Encoder:
-    """Encodes texts; remembers the ids of up to WORDS_AT_ONCE distinct words, then starts afresh."""
+    """Encodes texts; remembers the ids of about WORDS_HELD distinct words, then starts afresh."""
 
     def __init__(self, v: Vocabulary):
         self.v = v
@@ -228,20 +230,20 @@ class Encoder:
             ids, size = encode_words(new, self.v)
             self.ids, self.size = np.concatenate((self.ids, ids)), np.concatenate((self.size, size))
 
-    def encode(self, texts: list[str | None]):
-        """Ids of each text, in runs of texts; what is new in a run is merged at once."""
-        at = 0
-        while at < len(texts):
-            if len(self.known) >= WORDS_AT_ONCE:
-                self._forget()
-            numbered = []
-            while at < len(texts) and (not numbered or len(self.known) < WORDS_AT_ONCE):
-                numbered.append(_numbered(texts[at], self.v, self.known))
-                at += 1
-            self._merge_new()
-            first = np.cumsum(self.size) - self.size
-            for a in range(0, len(numbered), TEXTS_AT_ONCE):
-                yield [_gather(x, self.ids, first, self.size) if len(x) else x for x in numbered[a : a + TEXTS_AT_ONCE]]
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; words that are new are merged together."""
+        if len(self.known) >= WORDS_HELD:
+            self._forget()
+        out: list[np.ndarray] = []
+        numbered: list[np.ndarray] = []
+        for k, text in enumerate(texts):
+            numbered.append(_numbered(text, self.v, self.known))
+            if len(self.known) - len(self.size) >= WORDS_AT_ONCE or k == len(texts) - 1:
+                self._merge_new()
+                first = np.cumsum(self.size) - self.size
+                out += [_gather(x, self.ids, first, self.size) if len(x) else x for x in numbered]
+                numbered = []
+        return out
 
 
 def _list_array(rows: list[np.ndarray]) -> pa.Array:
@@ -249,39 +251,49 @@ def _list_array(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)))
 
 
-def with_ids(docs: DataFrame, vocabulary_path: str, text: str = "text", to: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of ``text`` in ``to`` (array<int>).
+def _decoded(ids: pa.Array, tokens: pa.Array) -> pa.Array:
+    """The tokens of each list of ids, joined by one space."""
+    first = ids.offsets[0].as_py() if len(ids) else 0
+    named = pa.ListArray.from_arrays(pc.subtract(ids.offsets, first), tokens.take(ids.flatten()), mask=ids.is_null() if ids.null_count else None)
+    return pc.binary_join(named, " ")
 
-    No special tokens are added; those written in a text count. A null or
-    blank text has no ids (an empty array). Every other column stays.
+
+def coded(docs: DataFrame, vocabulary_path: str, text: str = "text", ids: str = "ids", decoded: str | None = None, drop_text: bool = False) -> DataFrame:
+    """``docs`` with the token ids of ``text`` in ``ids`` (array<int>) and, if asked for, the text they decode to in ``decoded``.
+
+    No special tokens are added; those written in a text count. Decoding joins
+    all tokens, special ones too, by one space. A null or blank text has no ids (an
+    empty array) and decodes to an empty text. Every other column stays.
     """
-    if to in docs.columns:
-        raise ValueError(f"column {to} exists already")
-    schema = T.StructType([*docs.schema.fields, T.StructField(to, T.ArrayType(T.IntegerType()))])
+    new = [ids, *([decoded] if decoded else [])]
+    if clash := set(new) & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} exist already")
+    kept = [f for f in docs.schema.fields if not (drop_text and f.name == text)]
+    kinds = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded or "", T.StringType())][: len(new)]
+    names = [f.name for f in kept]
 
     def work(batches):
-        encoder = Encoder(vocabulary(vocabulary_path))
+        v = vocabulary(vocabulary_path)
+        encoder, tokens = Encoder(v), pa.array(v.tokens, pa.string())
         for batch in batches:
-            done = 0
-            for rows in encoder.encode(batch.column(batch.schema.get_field_index(text)).to_pylist()):
-                part = batch.slice(done, len(rows))
-                done += len(rows)
-                yield pa.RecordBatch.from_arrays([*part.columns, _list_array(rows)], names=[*batch.schema.names, to])
+            for start in range(0, len(batch), TEXTS_TOGETHER):
+                block = batch.slice(start, TEXTS_TOGETHER)
+                coded_rows = encoder.encode(block.column(block.schema.get_field_index(text)).to_pylist())
+                for at in range(0, len(block), TEXTS_AT_ONCE):
+                    part = block.slice(at, TEXTS_AT_ONCE)
+                    column = dict(zip(part.schema.names, part.columns))
+                    rows = _list_array(coded_rows[at : at + TEXTS_AT_ONCE])
+                    yield pa.RecordBatch.from_arrays([*(column[x] for x in names), rows, *([_decoded(rows, tokens)] if decoded else [])], names=[*names, *new])
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(work, T.StructType([*kept, *kinds]))
 
 
 def with_decoded(docs: DataFrame, vocabulary_path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """``docs`` with the text of ``ids``: the tokens, special ones too, joined by one space. Null ids give null."""
+    """``docs`` with the text of a column of ids. Null ids give null."""
 
     @F.arrow_udf(T.StringType())
     def decode(rows: pa.Array) -> pa.Array:
         tokens = pa.array(vocabulary(vocabulary_path).tokens, pa.string())
-        out = []
-        for at in range(0, len(rows), TEXTS_AT_ONCE):
-            part = rows.slice(at, TEXTS_AT_ONCE)
-            named = pa.ListArray.from_arrays(pc.subtract(part.offsets, part.offsets[0]), tokens.take(part.flatten()), mask=part.is_null() if part.null_count else None)
-            out.append(pc.binary_join(named, " "))
-        return pa.concat_arrays(out) if out else pa.array([], pa.string())
+        return pa.concat_arrays([_decoded(rows.slice(at, TEXTS_AT_ONCE), tokens) for at in range(0, len(rows), TEXTS_AT_ONCE)] or [pa.array([], pa.string())])
 
     return docs.withColumn(to, decode(F.col(ids)))

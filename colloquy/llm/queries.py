@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, chunk_dedup, langid, simhash, winnow
+from colloquy.llm import bpe, chunk_dedup, langid, license_scan, minhash, sharding, simhash, url_rules, winnow
+from colloquy.llm.ordering import with_next
 from colloquy.llm.registry import query, table
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
@@ -14,6 +15,30 @@ def hex64(column: str):
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
+@query("op1_minhash_fingerprints")
+def op1_minhash_fingerprints(spark, sf):
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = table(spark, sf, "documents").select("doc_id", text.alias("text")).withColumn("h", F.xxhash64("text"))
+    ids = docs.select("doc_id", "h", F.char_length("text").alias("n")).distinct()
+    links = with_next(ids, ["doc_id", "h"]).select("doc_id", "h", "n", F.col("next.doc_id").alias("next_id"), F.col("next.h").alias("next_h"))
+    marked = docs.withColumn("fp", minhash.fingerprint(F.col("text")))
+    followers = marked.select(F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"), "text", F.col("fp").alias("next_fp"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["h"] == b["h"])
+    after = links.alias("l").join(followers.alias("f"), F.col("l.next_id").eqNullSafe(F.col("f.next_id")) & (F.col("l.next_h") == F.col("f.next_h")))
+    tails = after.select(F.col("l.doc_id").alias("doc_id"), F.col("l.h").alias("h"), "n", F.left("text", F.floor(F.col("n") / 3).cast("int")).alias("tail"), "next_fp")
+    both = marked.join(tails, same(marked, tails)).select(marked["doc_id"], "text", "n", "fp", "next_fp", F.concat(F.left("text", (F.col("n") - F.floor(F.col("n") / 3)).cast("int")), "tail").alias("edited"))
+    told = both.withColumn("edited_fp", minhash.fingerprint(F.col("edited")))
+    return told.select(
+        "doc_id",
+        F.col("n").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        minhash.hex_digits(F.col("fp")).alias("fingerprint"),
+        minhash.hex_digits(F.col("edited_fp")).alias("edited_fingerprint"),
+        minhash.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        minhash.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    )
+
+
 @query("op3_chunk_dedup")
 def op3_chunk_dedup(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -22,8 +47,7 @@ def op3_chunk_dedup(spark, sf):
 
 @query("op4_bpe_codec")
 def op4_bpe_codec(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.col("text"))
-    coded = bpe.with_decoded(bpe.with_ids(docs, VOCABULARY).select("doc_id", "ids"), VOCABULARY)
+    coded = bpe.coded(table(spark, sf, "documents").select("doc_id", "text"), VOCABULARY, decoded="decoded", drop_text=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -32,12 +56,73 @@ def op4_bpe_codec(spark, sf):
     )
 
 
+def _joined_labels(labels):
+    return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+
+@query("op5_license_notices")
+def op5_license_notices(spark, sf):
+    found = license_scan.with_licenses(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "licenses.*")
+    base, more = F.transform("phrases", lambda p: p["label"]), F.transform("notices", lambda n: n["label"])
+    places = F.transform("phrases", lambda p: p["word"])
+    nearest = F.coalesce(F.array_max(F.transform("notices", lambda n: n["likeness"])), F.lit(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("phrases").cast("long").alias("n_base"),
+        F.array_min(places).alias("first_word"),
+        F.array_max(places).alias("last_word"),
+        _joined_labels(base).alias("base_labels"),
+        _joined_labels(F.concat(base, more)).alias("labels"),
+        F.when(F.size("phrases") > 0, F.lit(1.0)).otherwise(nearest).alias("score"),
+    )
+
+
+BASE_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+PATTERNS = [
+    url_rules.Pattern("adult", r"^[^:]*://[^/?#]*\badult-[a-z0-9]", ("adult",)),
+    url_rules.Pattern("casino", r"^[^:]*://[^/?#]*\bcasino-win\b", ("casino", "win")),
+    url_rules.Pattern("bets", r"^[^:]*://[^/?#]*\bfree-bets\b", ("free", "bets")),
+    url_rules.Pattern("ads", r"^[^:]*://[^/?#]*\bads-track\b", ("ads", "track")),
+    url_rules.Pattern("spam", r"^[^:]*://[^/?#]*\bspam-farm\b", ("spam", "farm")),
+    url_rules.Pattern("pills", r"^[^:]*://[^/?#]*\bcheap-pills\b", ("cheap", "pills")),
+    url_rules.Pattern("blog-feed", r"^[^:]*://blog\.[^?#]*\?utm_source=feed", ("blog", "utm", "source", "feed")),
+]
+_HOST_SQL = r"translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH_SQL = r"coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '')"
+
+
+def _url_sql() -> str:
+    fits = lambda rule: f"((host = '{rule[: rule.index('/')]}' OR ends_with(host, '.{rule[: rule.index('/')]}')) AND starts_with(path, '{rule[rule.index('/'):]}'))"
+    longest = sorted(BASE_RULES, key=lambda r: -len(r[1]))
+    rule = " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in longest)
+    verdict = " ".join(f"WHEN rule = '{r}' THEN '{v}'" for v, r in longest)
+    hit = lambda p: f"CASE WHEN regexp_matches(lower(url), '{p.regex}') THEN '{p.name}' END"
+    names = ", ".join(hit(p) for p in sorted(PATTERNS, key=lambda p: p.name))
+    return f"""
+WITH parted AS (SELECT page_id, url, {_HOST_SQL} AS host, {_PATH_SQL} AS path FROM pages),
+ruled AS (SELECT *, CASE {rule} END AS rule, concat_ws(',', {names}) AS patterns FROM parted)
+SELECT page_id, host, path, rule, CASE {verdict} WHEN patterns <> '' THEN 'block' ELSE 'allow' END AS verdict, patterns FROM ruled"""
+
+
+@query("op6_url_verdicts", _url_sql())
+def op6_url_verdicts(spark, sf):
+    judged = url_rules.judge(table(spark, sf, "pages").select("page_id", "url"), BASE_RULES, PATTERNS)
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.array_join("patterns", ",").alias("patterns"))
+
+
 @query("op7_simhash_near_copies")
 def op7_simhash_near_copies(spark, sf):
     groups = simhash.near_copy_groups(table(spark, sf, "documents"))
     return groups.select("doc_id", hex64("fp").alias("fingerprint"), "component_id")
 
 
+@query("op8_even_shards")
+def op8_even_shards(spark, sf):
+    packed = sharding.pack(table(spark, sf, "documents").select("doc_id", "text"), 40)
+    return packed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("op9_winnowed_benchmark")
 def op9_winnowed_benchmark(spark, sf):
     judged = winnow.hits(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
