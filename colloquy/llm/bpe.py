@@ -17,7 +17,6 @@ import itertools
 import json
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -102,11 +101,6 @@ class Vocabulary:
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
 
 
-@lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
-
-
 def encode_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(ids end to end, ids of each word) by the pair occurrence index."""
     data = [w.encode() for w in words]
@@ -273,7 +267,7 @@ def coded(docs: DataFrame, vocabulary_path: str, text: str = "text", ids: str =
     names = [f.name for f in kept]
 
     def work(batches):
-        v = vocabulary(vocabulary_path)
+        v = Vocabulary(vocabulary_path)
         encoder, tokens = Encoder(v), pa.array(v.tokens, pa.string())
         for batch in batches:
             for start in range(0, len(batch), TEXTS_TOGETHER):
@@ -291,9 +285,13 @@ def coded(docs: DataFrame, vocabulary_path: str, text: str = "text", ids: str =
 def with_decoded(docs: DataFrame, vocabulary_path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """``docs`` with the text of a column of ids. Null ids give null."""
 
+    held: list[pa.Array] = []  # filled once in each task
+
     @F.arrow_udf(T.StringType())
     def decode(rows: pa.Array) -> pa.Array:
-        tokens = pa.array(vocabulary(vocabulary_path).tokens, pa.string())
+        if not held:
+            held.append(pa.array(Vocabulary(vocabulary_path).tokens, pa.string()))
+        tokens = held[0]
         return pa.concat_arrays([_decoded(rows.slice(at, TEXTS_AT_ONCE), tokens) for at in range(0, len(rows), TEXTS_AT_ONCE)] or [pa.array([], pa.string())])
 
     return docs.withColumn(to, decode(F.col(ids)))
