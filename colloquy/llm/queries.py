@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, chunk_dedup, langid, license_scan, minhash, sharding, simhash, url_rules, winnow
+from colloquy.llm import bpe, chat_format, chunk_dedup, langid, license_scan, minhash, sharding, simhash, url_rules, winnow
 from colloquy.llm.ordering import with_next
 from colloquy.llm.registry import query, table
 
@@ -39,6 +39,14 @@ def op1_minhash_fingerprints(spark, sf):
     )
 
 
+@query("op2_chat_turns")
+def op2_chat_turns(spark, sf):
+    said = table(spark, sf, "conversations")
+    model = chat_format.fit(said.select(F.col("conv_id").alias("conv"), "turn", "role", "text"))
+    told = chat_format.format_chats(chat_format.transcript_lines(said), model)
+    return told.select(F.col("conv").alias("conv_id"), "turn", "role", "text", "rendered")
+
+
 @query("op3_chunk_dedup")
 def op3_chunk_dedup(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
