@@ -112,14 +112,16 @@ class Bins:
         return t
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """Bin of each size; a size over the capacity gets a bin of its own. Ties go by position and by bin number."""
+def best_fit_decreasing(sizes: list[int], capacity: int, most: int | None = None) -> list[int] | None:
+    """Bin of each size; a size over the capacity gets a bin of its own. Ties go by position and by bin number. None beyond ``most`` bins."""
     bins, n, out = Bins(), 0, [0] * len(sizes)
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
         fit = bins.tightest(sizes[i])
         if fit is None:
             out[i], left = n, capacity - sizes[i]
             n += 1
+            if most is not None and n > most:
+                return None
         else:
             bins.remove(fit)
             out[i], left = fit[1], fit[0] - sizes[i]
@@ -129,20 +131,27 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
 
 
 def even_bins(sizes: list[int], shards: int) -> list[int]:
-    """Bin of each size, at most ``shards`` bins, at the smallest capacity for which the packing needs no more."""
+    """Bin of each size, at most ``shards`` bins, at about the smallest capacity (to a ten-thousandth) for which the packing needs no more."""
     if not sizes:
         return []
-    low = max(-(-sum(sizes) // shards), 1)
-    high = max(sum(sizes), 1)
-    best = [0] * len(sizes)
-    # a size over the capacity has a bin of its own, so the capacity may lie below the largest size
-    while low <= high:
+    rest, room = sum(sizes), shards
+    for size in sorted(sizes, reverse=True):  # sizes over the even share of what is left have bins of their own
+        if room == 1 or size * room <= rest:
+            break
+        rest, room = rest - size, room - 1
+    low, high, best = max(1, -(-rest // room)), max(sum(sizes), 1), [0] * len(sizes)
+    step = low // 10_000 + 1
+    reach = low
+    while (found := best_fit_decreasing(sizes, reach, shards)) is None:
+        low, reach = reach + 1, min(high, reach + step)
+        step *= 2
+    best, high = found, reach
+    while high - low > low // 10_000:
         middle = (low + high) // 2
-        bins = best_fit_decreasing(sizes, middle)
-        if max(bins) < shards:
-            best, high = bins, middle - 1
-        else:
+        if (found := best_fit_decreasing(sizes, middle, shards)) is None:
             low = middle + 1
+        else:
+            best, high = found, middle
     return best
 
 
