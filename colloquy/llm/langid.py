@@ -136,7 +136,7 @@ def _count_features(batches):
                     tally.setdefault(lang, np.zeros(ORDERS * FEATURES, np.int64))[order * FEATURES : (order + 1) * FEATURES] += seen[k]
     for lang, n in sorted(tally.items()):
         slot = np.flatnonzero(n)
-        yield pa.record_batch({"lang": [lang] * len(slot), "slot": slot.astype(np.int32), "n": n[slot]})
+        yield pa.record_batch({"lang": pa.array([lang] * len(slot), pa.string()), "slot": slot.astype(np.int32), "n": n[slot]})
 
 
 def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:

@@ -108,10 +108,10 @@ def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     near = [_windows_at(F.col("w"), _starts(F.col("w"), F.col("found"), c), c) for c in classes]
     looked = spots.select("doc_id", F.size("w").cast("long").alias("n_words"), F.when(F.col("found").isNull(), none).otherwise(F.concat(*near) if len(near) > 1 else near[0]).alias("near"))
     rows = looked.select("doc_id", "n_words", F.explode_outer("near").alias("x")).select("doc_id", "n_words", "x.*")
-    met = rows.join(small(windows), ["class", "words"], "left")
+    met = rows.join(small(windows.withColumn("met", F.lit(True))), ["class", "words"], "left")
     per = met.groupBy("doc_id").agg(
         F.max("n_words").alias("n_words"),
-        F.array_sort(F.collect_set(F.when(F.col("item_id").isNotNull(), F.struct("at", "class")))).alias("spans"),
+        F.array_sort(F.collect_set(F.when(F.col("met"), F.struct("at", "class")))).alias("spans"),
         F.array_sort(F.collect_set("item_id")).alias("item_ids"),
     )
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
