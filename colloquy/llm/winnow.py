@@ -103,7 +103,8 @@ def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
     found = _fingerprints(bare, classes, "doc_id").join(small(prints), ["class", "fp"])
     found = found.groupBy("doc_id").agg(F.collect_set(F.struct("class", "fp")).alias("found"))
-    spots = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w")).join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    whole = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))  # the text travels, not its words
+    spots = whole.join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", words(F.col("text")).alias("w"), "found")
     none = F.array().cast("array<struct<at:int,class:int,words:string>>")
     near = [_windows_at(F.col("w"), _starts(F.col("w"), F.col("found"), c), c) for c in classes]
     looked = spots.select("doc_id", F.size("w").cast("long").alias("n_words"), F.when(F.col("found").isNull(), none).otherwise(F.concat(*near) if len(near) > 1 else near[0]).alias("near"))
