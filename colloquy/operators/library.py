@@ -120,15 +120,41 @@ SECRET_KEYS = (
 )
 
 
-def redact(settings_json: Column | str, depth: int = 6) -> Column:
-    """Replace the truthy values of secret keys, at any depth, in JSON text (lib_redact)."""
-    text = r'"(?:[^"\\]++|\\.)*+"'
-    flat = rf'(?:[^"{{}}\[\]]++|{text})*+'
-    nested = rf"[{{\[]{flat}[}}\]]"
-    for _ in range(depth):
-        nested = rf"[{{\[]{flat}(?:{nested}{flat})*+[}}\]]"
-    truthy = rf'"(?:[^"\\]++|\\.)++"|true|-?(?!0(?:\.0+)?(?:[eE]|[,\s}}\]]))\d[\d.eE+-]*|(?![{{\[]\s*[}}\]]){nested}'
-    return F.regexp_replace(settings_json, rf'("(?:{"|".join(SECRET_KEYS)})"\s*:\s*)(?:{truthy})', '$1"[redacted]"')
+_JSON_TOKEN = r'"(?:[^"\\]++|\\.)*+"|[{}\[\],:]|\s+|[^"{}\[\],:\s]+|"'
+
+
+def redact(settings_json: Column | str) -> Column:
+    """Replace the truthy values of secret keys, at any depth, in JSON text (lib_redact).
+
+    The tokens are folded: after a secret key and its colon a truthy scalar is
+    replaced, and a filled object or list is left out up to the bracket that
+    closes it, however deep it nests.
+    """
+    text = F.col(settings_json) if isinstance(settings_json, str) else settings_json
+    tokens = F.regexp_extract_all(text, F.lit(f"({_JSON_TOKEN})"), F.lit(1))
+    opens, closes = lambda t: t.isin("{", "["), lambda t: t.isin("}", "]")
+    secret = lambda t: t.isin(*[f'"{k}"' for k in SECRET_KEYS])
+    space = lambda t: t.rlike(r"^\s")
+    truthy = lambda t: t.rlike(r'^(?:"(?s:.)+"|true|-?(?!0(?:\.0+)?(?:[eE]|$))\d[\d.eE+-]*)$')
+    # the next token that is no space, to tell empty brackets
+    after = lambda ts: F.transform(ts, lambda t, i: F.struct(t.alias("t"), F.when(space(F.get(ts, i + 1)), F.get(ts, i + 2)).otherwise(F.get(ts, i + 1)).alias("n")))
+    # said: 0 nothing, 1 a secret key, 2 its colon too; open: brackets still to close of a value that goes
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("said"), F.lit(0).alias("open"))
+
+    def step(a: Column, x: Column) -> Column:
+        t, value = x["t"], (a["said"] == 2) & ~space(x["t"])
+        drops = value & opens(t) & ~closes(x["n"])
+        put = F.when(drops | (value & truthy(t)), F.lit('"[redacted]"')).otherwise(t)
+        said = F.when(space(t), a["said"]).when(secret(t), 1).when((t == ":") & (a["said"] == 1), 2).otherwise(0)
+        inside = a["open"] > 0
+        return F.struct(
+            F.when(inside, a["out"]).otherwise(F.concat(a["out"], F.array(put))).alias("out"),
+            F.when(inside, 0).otherwise(said).alias("said"),
+            F.when(inside, a["open"] + opens(t).cast("int") - closes(t).cast("int")).otherwise(drops.cast("int")).alias("open"),
+        )
+
+    parts = F.flatten(F.transform(F.array(tokens), lambda ts: F.aggregate(after(ts), start, step, lambda a: a["out"])))
+    return F.when(text.isNotNull(), F.array_join(parts, ""))
 
 
 def usable_profiles(profiles: DataFrame) -> DataFrame:

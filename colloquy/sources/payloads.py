@@ -193,15 +193,24 @@ def markdown_findings(answers: DataFrame) -> DataFrame:
 
 TITLE_ANSWER = "struct<error:string,title:string,speakers:map<string,string>,technical_terms:array<string>,terms:array<string>>"
 TERM_CAP = 30
-_STR = r'"(?:[^"\\]++|\\.)*+"'
+_PIECE = r'("(?:[^"\\]++|\\.)*+"|[{}]|[^"{}]++|"[\s\S]*+)'
 
 
-def _balanced(depth: int = 6) -> str:
-    inner = rf"(?:[^{{}}\"]++|{_STR})*+"
-    out = rf"\{{{inner}\}}"
-    for _ in range(depth):
-        out = rf"\{{{inner}(?:{out}{inner})*+\}}"
-    return out
+def first_object(text: Column) -> Column:
+    """The object that the first { opens, up to the } that closes it at whatever depth; empty if none does.
+
+    Braces inside strings don't count: the pieces are whole strings, single braces and what lies between.
+    """
+    rest = F.substring(text, F.locate("{", text), F.length(text))
+    pieces = F.when(F.locate("{", text) > 0, F.regexp_extract_all(rest, F.lit(_PIECE), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("open"), F.lit(False).alias("done"))
+
+    def step(a: Column, x: Column) -> Column:
+        still = F.when(x == "{", a["open"] + 1).when(x == "}", a["open"] - 1).otherwise(a["open"])
+        return F.when(a["done"], a).otherwise(F.struct((a["n"] + 1).alias("n"), still.alias("open"), (still == 0).alias("done")))
+
+    whole = lambda ps: F.aggregate(ps, start, step, lambda a: F.when(a["done"], F.array_join(F.slice(ps, 1, a["n"]), "")).otherwise(""))
+    return F.array_join(F.transform(F.array(pieces), whole), "")
 
 
 def title_answers(answers: DataFrame) -> DataFrame:
@@ -212,7 +221,7 @@ def title_answers(answers: DataFrame) -> DataFrame:
     """
     t = F.trim("text")
     last = F.trim(F.element_at(F.split(t, r"\r?\n"), -1))
-    first = F.regexp_extract(t, _balanced(), 0)
+    first = first_object(t)
     cleaned = F.regexp_replace(first, r",(\s*[}\]])", "$1")
     parse = lambda c: F.when(c.rlike(r"(?s)^\{.*\}$"), F.from_json(valid_json(c), TITLE_ANSWER))
     whole = lambda r: r.isNotNull() & (r["title"].isNotNull() | r["speakers"].isNotNull() | r["technical_terms"].isNotNull() | r["terms"].isNotNull() | r["error"].isNotNull())

@@ -9,6 +9,7 @@ re-read and never a recomputation of everything before the cut.
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 
@@ -22,6 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_FOLDER:
         _OWN_FOLDER[app] = tempfile.mkdtemp(prefix="spark-colloquy-")
@@ -43,9 +46,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _state_of(spark: SparkSession, folder: str) -> str:
+    """Names, sizes and times of what a folder holds, so that a rewritten input is seen."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = fs.listStatus(path) if fs.exists(path) else []
+    return ",".join(sorted(f"{x.getPath().getName()}:{x.getLen()}:{x.getModificationTime()}" for x in held))
+
+
 def cut_once(spark: SparkSession, source: str, name: str, build) -> DataFrame:
-    """As ``cut``, remembered per application, source folder and name."""
-    tag = hashlib.sha1(source.encode()).hexdigest()[:10]
+    """As ``cut``, remembered per application, source folder with what it holds, and name."""
+    tag = hashlib.sha1(f"{source} {_state_of(spark, source)}".encode()).hexdigest()[:10]
     key = (spark.sparkContext.applicationId, f"{name}@{tag}")
     if key not in _WRITTEN:
         path = fresh_path(spark, f"{name}-{tag}")

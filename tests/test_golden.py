@@ -332,3 +332,48 @@ def test_redact(spark):
 
     text = '{"a":{"token":"x\\"y","n":[{"password":12},{"password":0}]},"api_key":{"k":["}"]},"hf_token":"","token":true}'
     assert values(spark, redact, text) == ['{"a":{"token":"[redacted]","n":[{"password":"[redacted]"},{"password":0}]},"api_key":"[redacted]","hf_token":"","token":"[redacted]"}']
+
+
+def test_redact_at_any_depth(spark):
+    from colloquy.operators.library import redact
+
+    deep = '{"x":' * 9 + '1' + "}" * 9
+    text = '{"keep": "token", "n": {"token" : %s, "password":[[[[[[[[["s"]]]]]]]]], "api_key":{}, "hf_token": [ ], "token":-0.5, "password":0.0, "z":"a\\"{"}}' % deep
+    want = '{"keep": "token", "n": {"token" : "[redacted]", "password":"[redacted]", "api_key":{}, "hf_token": [ ], "token":"[redacted]", "password":0.0, "z":"a\\"{"}}'
+    assert values(spark, redact, text) == [want]
+
+
+def test_deep_answers(spark):
+    from colloquy.sources.payloads import title_answers
+
+    deep = '{"x":' * 9 + '"}"' + "}" * 9
+    rows = [("a", 'Sure! {"title": "T", "more": %s, "terms": ["u"]} done {' % deep), ("b", 'no { "title": "T"'), ("c", "plain")]
+    got = {r.id: (r.title, r.technical_terms) for r in title_answers(spark.createDataFrame(rows, "id string, text string")).collect()}
+    assert got == {"a": ("T", ["u"]), "b": ("", []), "c": ("", [])}
+
+
+def test_chatter_after_many_blank_messages(spark):
+    from colloquy.operators.mining import chatter_summary
+
+    rows = [("r", i, None, "A", " ") for i in range(700)] + [("r", 700 + i, "2024-01-01", "A", f"word{i}") for i in range(49)]
+    got = chatter_summary(spark.createDataFrame(rows, "id string, rank int, date string, author string, body string"), spark.createDataFrame([("r", "N")], "id string, name string")).collect()
+    assert got[0].summary.startswith("N. ") and "word0" in got[0].summary and "word48" in got[0].summary
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    import pytest
+
+    from colloquy import stage
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})()
+
+    with pytest.raises(RuntimeError):
+        stage.shared_folder(Session())
