@@ -11,6 +11,8 @@ from colloquy.plans.registry import query
 from colloquy.streaming import events as E
 
 CAP_MICRO = 1_500_000
+#: Rows of one file of events.
+FILE_ROWS = 250_000
 
 _EV = """
     ev AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id AS job_id,
@@ -22,7 +24,7 @@ _EV = """
 
 
 def event_folder(spark, sf) -> str:
-    """The event table as JSON lines in the shared folder, in a few files."""
+    """The event table as JSON lines in the shared folder, in the table's own partitions."""
     path = stage.fresh_path(spark, "engine-events")
     e = F.col("event_id")
     kind = F.col("event_type")
@@ -33,7 +35,7 @@ def event_folder(spark, sf) -> str:
         F.when(e % 5 == 0, (e % 900).cast("double")).alias("eta_seconds"), F.when(e % 2 == 0, "slow").otherwise("noise").alias("code"),
         F.concat(F.lit("p"), (e % 2).cast("string")).alias("provider"), F.concat(F.lit("m"), (e % 3).cast("string")).alias("model"),
         (e % 1000).alias("input_tokens"), (e % 500).alias("output_tokens"), F.floor(F.col("value") * 100).cast("long").alias("cost_micro"),
-    ).repartitionByRange(4, "ts").write.json(path)
+    ).write.option("maxRecordsPerFile", FILE_ROWS).json(path)
     return path
 
 
@@ -71,9 +73,8 @@ def st_budget_alert(spark, sf):
     SELECT job_id, CAST(pct AS DOUBLE) AS pct, round(CASE WHEN eta_seconds IS NULL AND (pct IS NULL OR pct < 100) THEN greatest(total - epoch(ts - start), 0) ELSE eta_seconds END, 3) AS eta_seconds
     FROM ev JOIN f USING (job_id) WHERE event = 'progress'""")
 def st_eta(spark, sf):
-    """All files in one batch: the written files do not come in the order of their events."""
     totals = V.table(spark, sf, "events").groupBy(F.col("user_id").alias("job_id")).agg((F.count(F.lit(1)) * F.lit(10000.0)).alias("total_seconds"))
-    return E.etas(E.read_events(spark, event_folder(spark, sf), 1_000), totals).select("job_id", "pct", F.round("eta_seconds", 3).alias("eta_seconds"))
+    return E.etas(_events(spark, sf), totals).select("job_id", "pct", F.round("eta_seconds", 3).alias("eta_seconds"))
 
 
 @query("st_partial_chunks", """
@@ -88,8 +89,8 @@ def st_partial_chunks(spark, sf):
     path = stage.fresh_path(spark, "chunk-results")
     name = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit("N"), F.col("event_id").cast("string")))
     rows = V.table(spark, sf, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("chunk"), F.col("event_type").alias("label"), name.alias("name"))
-    rows.repartition(4, "chunk").write.json(path)
-    stream = spark.readStream.schema("job_id long, chunk long, label string, name string").option("maxFilesPerTrigger", 2).json(path)
+    rows.write.option("maxRecordsPerFile", FILE_ROWS).json(path)
+    stream = spark.readStream.schema("job_id long, chunk long, label string, name string").option("maxFilesPerTrigger", 256).json(path)
 
     def merge(df):
         return A.merge_chunks(

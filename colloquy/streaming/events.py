@@ -2,7 +2,9 @@
 
 Running figures are native stateful aggregates in update mode. Their changed
 rows go to a folder per micro-batch, which a repeated batch overwrites, and
-the current table is the last row of each key. Watermarks only bound state.
+the current table is the last row of each key. No watermark drops a late file:
+the state holds one row per job, per month and model, or per billed step, which
+is what the tables themselves hold.
 """
 
 from __future__ import annotations
@@ -21,7 +23,11 @@ EVENT = (
 )
 
 
-def read_events(spark: SparkSession, path: str, files_per_batch: int = 2) -> DataFrame:
+#: Folders over which the chunks of jobs are dealt.
+BUCKETS = 64
+
+
+def read_events(spark: SparkSession, path: str, files_per_batch: int = 256) -> DataFrame:
     """Engine events from a folder of JSON lines (src_events_jsonl)."""
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_batch).json(path)
 
@@ -56,10 +62,10 @@ def latest_progress(events: DataFrame) -> DataFrame:
         *[F.max_by(c, known(c)).alias(c) for c in ("step", "pct", "eta_seconds")])
 
 
-def usage_totals(events: DataFrame, delay: str = "400 days") -> DataFrame:
+def usage_totals(events: DataFrame) -> DataFrame:
     """Calls, tokens and cost by month, provider and model (st_usage_totals)."""
     return (
-        events.where(F.col("event") == "usage").withWatermark("ts", delay)
+        events.where(F.col("event") == "usage")
         .groupBy(F.date_format("ts", "yyyy-MM").alias("month"), "provider", "model")
         .agg(F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("cost_micro").alias("cost_micro"))
     )
@@ -76,51 +82,41 @@ def latest_outcome(events: DataFrame) -> DataFrame:
 def budget_alerts(events: DataFrame, cap_micro: int) -> DataFrame:
     """One row per month when its running spend crosses the cap (st_budget_alert).
 
-    The totals are a stateful aggregate with map-side partials; the batch step
-    sees only changed months and alerts those not alerted before.
+    The totals are a stateful aggregate with map-side partials. A batch writes
+    the changed months above the cap; a month's alert is its first such row.
     """
     spark = events.sparkSession
     out = stage.fresh_path(spark, "alerts")
     totals = events.where(F.col("event") == "usage").groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(F.sum("cost_micro").alias("spent_micro"))
-    schema = "month string, spent_micro bigint, batch int"
-    empty = spark.createDataFrame([], schema)
-    empty.drop("batch").write.parquet(f"{out}/batch=-1")
-
-    def step(df: DataFrame, n: int) -> None:
-        before = spark.read.schema(schema).parquet(out).where(F.col("batch") < n).select("month").distinct()
-        fresh = df.where(F.col("spent_micro") > cap_micro).join(before, "month", "left_anti")
-        fresh.select("month", "spent_micro").write.mode("overwrite").parquet(f"{out}/batch={n}")
-
-    run_batches(totals, step, "update", "alerts-query")
-    return spark.read.schema(schema).parquet(out).select("month", "spent_micro")
+    over = lambda df: df.where(F.col("spent_micro") > cap_micro)
+    run_batches(totals, lambda df, n: over(df).write.mode("overwrite").parquet(f"{out}/batch={n}"), "update", "alerts-query")
+    said = spark.read.schema(_with_batch(totals.schema)).parquet(out)
+    return said.groupBy("month").agg(F.min_by("spent_micro", "batch").alias("spent_micro"))
 
 
 def etas(events: DataFrame, totals: DataFrame) -> DataFrame:
     """Rest time on progress rows without one: expected total less elapsed (st_eta).
 
-    ``totals``: job_id, total_seconds. A job starts with its first event. The
-    start table only grows by new jobs.
+    ``totals``: job_id, total_seconds. A job starts with its first event, in
+    whatever file that comes: a batch writes its progress rows and the first
+    event of each of its jobs, and the rest times are reckoned from both tables
+    when they are read.
     """
     spark = events.sparkSession
-    out, starts = stage.fresh_path(spark, "etas"), stage.fresh_path(spark, "starts")
-    first_schema, row_schema = "job_id bigint, start timestamp, batch int", "job_id bigint, ts timestamp, pct double, eta_seconds double, batch int"
-    spark.createDataFrame([], first_schema).drop("batch").write.parquet(f"{starts}/batch=-1")
+    rows_at, starts_at = stage.fresh_path(spark, "progress"), stage.fresh_path(spark, "starts")
+    progress = lambda df: df.where(F.col("event") == "progress").select("job_id", "ts", "pct", "eta_seconds")
 
     def step(df: DataFrame, n: int) -> None:
-        # The batch is written once: the start table and the rows read it.
-        batch = stage.cut(df.select("job_id", "ts", "event", "pct", "eta_seconds"), "eta-batch")
-        before = spark.read.schema(first_schema).parquet(starts).where(F.col("batch") < n).select("job_id", "start")
-        new = batch.groupBy("job_id").agg(F.min("ts").alias("start")).join(before, "job_id", "left_anti")
-        new.write.mode("overwrite").parquet(f"{starts}/batch={n}")
-        known = spark.read.schema(first_schema).parquet(starts).where(F.col("batch") <= n).select("job_id", "start")
-        elapsed = F.greatest((F.unix_micros("ts") - F.unix_micros("start")) / F.lit(1_000_000.0), F.lit(0.0))
-        needs = F.col("eta_seconds").isNull() & F.col("total_seconds").isNotNull() & (F.col("pct").isNull() | (F.col("pct") < 100))
-        eta = F.when(needs, F.greatest(F.col("total_seconds") - elapsed, F.lit(0.0))).otherwise(F.col("eta_seconds"))
-        rows = batch.where(F.col("event") == "progress").join(known, "job_id").join(totals, "job_id", "left")
-        rows.select("job_id", "ts", "pct", eta.alias("eta_seconds")).write.mode("overwrite").parquet(f"{out}/batch={n}")
+        df.groupBy("job_id").agg(F.min("ts").alias("start")).write.mode("overwrite").parquet(f"{starts_at}/batch={n}")
+        progress(df).write.mode("overwrite").parquet(f"{rows_at}/batch={n}")
 
     run_batches(events, step, "append", "eta-query")
-    return spark.read.schema(row_schema).parquet(out).drop("batch")
+    starts = spark.read.schema("job_id bigint, start timestamp, batch int").parquet(starts_at).groupBy("job_id").agg(F.min("start").alias("start"))
+    rows = spark.read.schema(_with_batch(progress(events).schema)).parquet(rows_at).drop("batch")
+    elapsed = F.greatest((F.unix_micros("ts") - F.unix_micros("start")) / F.lit(1_000_000.0), F.lit(0.0))
+    needs = F.col("eta_seconds").isNull() & F.col("total_seconds").isNotNull() & (F.col("pct").isNull() | (F.col("pct") < 100))
+    eta = F.when(needs, F.greatest(F.col("total_seconds") - elapsed, F.lit(0.0))).otherwise(F.col("eta_seconds"))
+    return rows.join(starts, "job_id").join(totals, "job_id", "left").select("job_id", "ts", "pct", eta.alias("eta_seconds"))
 
 
 def partial_merges(chunks: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -135,11 +131,15 @@ def partial_merges(chunks: DataFrame, merge: Callable[[DataFrame], DataFrame]) -
     found = {}
 
     def step(df: DataFrame, n: int) -> None:
-        df.write.mode("overwrite").parquet(f"{seen}/batch={n}")
-        rows = spark.read.schema(_with_batch(schema)).parquet(seen)
-        rows = rows.where(F.col("batch") <= n)
-        touched = rows.where(F.col("batch") == n).select("job_id").distinct()
-        merged = merge(rows.drop("batch").join(touched, "job_id", "left_semi"))
+        # a job's chunks lie in the folder of its bucket; only the buckets that the batch touches are read
+        dealt = df.withColumn("bucket", F.pmod(F.hash("job_id"), F.lit(BUCKETS)))
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{seen}/batch={n}")
+        rows = spark.read.schema(T.StructType([*_with_batch(schema).fields, T.StructField("bucket", T.IntegerType())])).parquet(seen)
+        here = rows.where(F.col("batch") == n)
+        buckets = [r[0] for r in here.select("bucket").distinct().collect()]  # at most BUCKETS
+        touched = here.select("job_id").distinct()
+        so_far = rows.where((F.col("batch") <= n) & F.col("bucket").isin(buckets)).drop("batch", "bucket")
+        merged = merge(so_far.join(touched, "job_id", "left_semi"))
         found["schema"] = merged.schema
         merged.write.mode("overwrite").parquet(f"{out}/batch={n}")
 
@@ -149,9 +149,12 @@ def partial_merges(chunks: DataFrame, merge: Callable[[DataFrame], DataFrame]) -
     return merged.join(last, ["job_id", "batch"], "left_semi").drop("batch")
 
 
-def billed_once(events: DataFrame, delay: str = "40 days") -> DataFrame:
-    """Usage events without the repeats of a rerun (st_dedup)."""
-    return events.where(F.col("event") == "usage").withWatermark("ts", delay).dropDuplicatesWithinWatermark(["job_id", "step"])
+def billed_once(events: DataFrame) -> DataFrame:
+    """Usage events without the repeats of a rerun, however late either comes (st_dedup).
+
+    The state is one key per billed step, as the ledger itself.
+    """
+    return events.where(F.col("event") == "usage").dropDuplicates(["job_id", "step"])
 
 
 def collect_stream(stream: DataFrame, name: str) -> DataFrame:

@@ -377,3 +377,32 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         stage.shared_folder(Session())
+
+
+def test_streams_do_not_hang_on_files_or_their_order(spark, tmp_path):
+    """Usage 90 days apart, repeats and late first events: one file a batch in either order, or all at once."""
+    import json
+    import os
+
+    from colloquy.streaming import events as E
+
+    day = lambda d, s=0: f"2024-{1 + d // 28:02d}-{1 + d % 28:02d}T00:00:{s:02d}.000000Z"
+    files = [
+        [{"ts": day(100), "job_id": 1, "event": "usage", "step": "a", "provider": "p", "model": "m", "input_tokens": 1, "output_tokens": 1, "cost_micro": 5}, {"ts": day(100, 30), "job_id": 2, "event": "progress", "pct": 5.0}],
+        [{"ts": day(0), "job_id": 3, "event": "usage", "step": "a", "provider": "p", "model": "m", "input_tokens": 2, "output_tokens": 2, "cost_micro": 7}, {"ts": day(100, 10), "job_id": 2, "event": "warning", "code": "slow"}],
+        [{"ts": day(150), "job_id": 1, "event": "usage", "step": "a", "provider": "p", "model": "m", "input_tokens": 1, "output_tokens": 1, "cost_micro": 5}],
+    ]
+    totals = spark.createDataFrame([(2, 100.0)], "job_id long, total_seconds double")
+    found = set()
+    for k, (order, at_once) in enumerate((((0, 1, 2), 1), ((2, 1, 0), 1), ((0, 1, 2), 1_000))):
+        folder = tmp_path / str(k)
+        folder.mkdir()
+        for n, i in enumerate(order):
+            (folder / f"{n}.json").write_text("".join(json.dumps(x) + "\n" for x in files[i]))
+            os.utime(folder / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
+        read = lambda: E.read_events(spark, str(folder), at_once)
+        billed = sorted((r.job_id, r.step) for r in E.collect_stream(E.billed_once(read()).select("job_id", "step"), "billed").collect())
+        eta = [(r.job_id, r.eta_seconds) for r in E.etas(read(), totals).collect()]
+        usage = sorted(map(tuple, E.keep_latest(E.usage_totals(read()), ["month", "provider", "model"], "usage").collect()))
+        found.add(repr((billed, eta, usage)))
+    assert len(found) == 1 and "[(1, 'a'), (3, 'a')], [(2, 80.0)]" in found.pop()
