@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_ROWS = 1024
 
@@ -33,6 +34,14 @@ class Step:
     value: Column
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
 def block_of(seq: Column | str = "seq") -> Column:
     col = F.col(seq) if isinstance(seq, str) else seq
     return F.floor(col / F.lit(BLOCK_ROWS)).cast("long")
@@ -57,6 +66,10 @@ def scan(
     for i, s in enumerate(steps):
         base = base.withColumn(f"_v{i}", s.value)
     part = [*keys, "_blk"]
+    # The summary needs every column (through a digest), so that chained scans plan
+    # the same exchange for it as for the rows they read, and Spark runs it once.
+    digest = F.max(F.xxhash64(*[f.name for f in base.schema.fields if not _holds_map(f.dataType)]))
+    base = base.repartition(*part)
     inside = Window.partitionBy(*part).orderBy(order)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
@@ -104,7 +117,7 @@ def scan(
             "max_before": lambda: F.max(v).over(earlier),
         }[s.kind]()
         carry.append(carried.alias(f"_c{i}"))
-    edges = base.groupBy(*part).agg(*summary).select(*part, *carry)
+    edges = base.groupBy(*part).agg(*summary, digest.alias("_all")).where(F.col("_all").isNotNull()).select(*part, *carry)
 
     out = base.select("*", *local).join(edges, part, "left")
     for i, s in enumerate(steps):
