@@ -94,8 +94,7 @@ VIEWS: dict[str, str] = {
         FROM (SELECT *, CAST(n // 100 + CASE WHEN n % 100 > 50 OR (n % 100 = 50 AND (n // 100) % 2 = 1) THEN 1 ELSE 0 END AS BIGINT) AS cost_micro
               FROM @usage1)""",
     "glossary": """
-        SELECT term FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '([A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]{4,})', 1)) AS term
-                          FROM documents WHERE doc_id % 10 = 0 AND lang = 'fr') ORDER BY term LIMIT 200""",
+        SELECT DISTINCT unnest(regexp_extract_all(text, '([A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]{4,})', 1)) AS term FROM documents""",
     "page_text": r"""
         SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
             replace(replace(replace(replace(replace(regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g'),

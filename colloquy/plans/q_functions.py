@@ -113,10 +113,10 @@ def fn_glossary_case(spark, sf):
 
 
 @query("fn_replace_term", r"""
-    SELECT doc_id, regexp_replace(text, '\b(?i:the)\b', 'Le', 'g') AS text, len(regexp_extract_all(text, '\b(?i:the)\b')) AS replaced FROM documents WHERE lang = 'en'""")
+    SELECT doc_id, regexp_replace(text, '\b(?i:the)\b', 'Le', 'g') AS text, len(regexp_extract_all(text, '\b(?i:the)\b')) AS replaced FROM documents""")
 def fn_replace_term(spark, sf):
     text, n = R.replace_term(F.col("text"), "the", "Le")
-    return V.table(spark, sf, "documents").where(F.col("lang") == "en").select("doc_id", text.alias("text"), n.alias("replaced"))
+    return V.table(spark, sf, "documents").select("doc_id", text.alias("text"), n.alias("replaced"))
 
 
 @query("fn_relabel_text", """
