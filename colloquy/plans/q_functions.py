@@ -127,28 +127,31 @@ def fn_relabel_text(spark, sf):
     return V.transcript_lines(spark, sf).select("job_id", "seq", text.alias("line"), n.alias("changed"))
 
 
-_FIRST = r"trim(regexp_replace(string_split_regex(text, '[.!?\n|,]')[1], '\s+', ' ', 'g'))"
+_PHRASES = r"""
+    SELECT doc_id, source, pos, trim(regexp_replace(p, '\s+', ' ', 'g')) AS title
+    FROM (SELECT doc_id, source, unnest(string_split_regex(text, '[.!?\n|,]')) AS p, generate_subscripts(string_split_regex(text, '[.!?\n|,]'), 1) - 1 AS pos FROM documents)"""
 
 
-def first_phrases(spark, sf):
-    return V.table(spark, sf, "documents").select(
-        "doc_id", "source", F.trim(F.regexp_replace(F.get(F.split("text", r"[.!?\n|,]"), F.lit(0)), r"\s+", " ")).alias("title"))
+def phrases(spark, sf):
+    """Every phrase of every document."""
+    rows = V.table(spark, sf, "documents").select("doc_id", "source", F.posexplode(F.split("text", r"[.!?\n|,]")).alias("pos", "p"))
+    return rows.select("doc_id", "source", F.col("pos").cast("long").alias("pos"), F.trim(F.regexp_replace("p", r"\s+", " ")).alias("title"))
 
 
 @query("fn_title_useful", rf"""
-    WITH t AS (SELECT doc_id, {_FIRST} AS title FROM documents),
-    c0 AS (SELECT doc_id, title, trim(regexp_replace(regexp_replace(title, '[<>:"/\\|?*]', ' ', 'g'), '\s+', ' ', 'g'), ' .-_') AS s FROM t),
-    c AS (SELECT doc_id, title, CASE WHEN length(s) > 80 THEN trim(regexp_replace(left(s, 80), ' [^ ]*$', ''), ' .-_') ELSE s END AS s FROM c0)
-    SELECT doc_id, title FROM c WHERE len(string_split(s, ' ')) BETWEEN 3 AND 12 AND length(s) BETWEEN 12 AND 80
+    WITH t AS ({_PHRASES}),
+    c0 AS (SELECT doc_id, pos, title, trim(regexp_replace(regexp_replace(title, '[<>:"/\\|?*]', ' ', 'g'), '\s+', ' ', 'g'), ' .-_') AS s FROM t),
+    c AS (SELECT doc_id, pos, title, CASE WHEN length(s) > 80 THEN trim(regexp_replace(left(s, 80), ' [^ ]*$', ''), ' .-_') ELSE s END AS s FROM c0)
+    SELECT doc_id, pos, title FROM c WHERE len(string_split(s, ' ')) BETWEEN 3 AND 12 AND length(s) BETWEEN 12 AND 80
       AND NOT regexp_matches(lower(s), '^(j[''’ ]|(je|tu|vous|nous|on|il faut|c''est|c’est|voilà|alors|du coup|là)([^\p{{L}}\p{{N}}_]|$))')
       AND NOT regexp_matches(lower(s), '(^|[^\p{{L}}\p{{N}}_])(j[''’]ai|je suis|je vais|j''aimerais|j’aimerais|on va|nous allons)([^\p{{L}}\p{{N}}_]|$)')""")
 def fn_title_useful(spark, sf):
-    return first_phrases(spark, sf).where(R.is_useful_title("title")).select("doc_id", "title")
+    return phrases(spark, sf).where(R.is_useful_title("title")).select("doc_id", "pos", "title")
 
 
 @query("fn_title_prefix", rf"""
-    WITH t AS (SELECT doc_id, source, {_FIRST} AS title FROM documents)
-    SELECT doc_id, CASE WHEN title = '' THEN CASE WHEN doc_id % 4 = 0 THEN 'OwnCo - ' ELSE title END
+    WITH t AS ({_PHRASES})
+    SELECT doc_id, pos, CASE WHEN doc_id % 4 = 0 AND NOT regexp_matches(title, '[\p{{L}}\p{{N}}]') THEN source || ' - Ównco — ' || title
                         WHEN doc_id % 4 = 1 THEN upper(source) || ' - ' || title
                         WHEN doc_id % 4 = 2 THEN 'Autre - ' || title ELSE source || ' - ' || title END AS title
     FROM t WHERE title <> ''""")
@@ -156,8 +159,8 @@ def fn_title_prefix(spark, sf):
     n = F.col("doc_id") % 4
     given = F.when(n == 0, F.concat(F.lit("Ównco — "), "title")).when(n == 1, F.concat(F.upper("source"), F.lit(" - "), "title")).when(
         n == 2, F.concat(F.lit("Autre - "), "title")).otherwise(F.col("title"))
-    rows = first_phrases(spark, sf).where(F.col("title") != "")
-    return rows.select("doc_id", R.prefixed_title(given, F.col("source"), ["ownco"]).alias("title"))
+    rows = phrases(spark, sf).where(F.col("title") != "")
+    return rows.select("doc_id", "pos", R.prefixed_title(given, F.col("source"), ["ownco"]).alias("title"))
 
 
 @query("fn_json_columns", """

@@ -311,7 +311,8 @@ CAPS_SQL = CAPS.replace("'", "''")
     c2 AS (SELECT id, min(rank) AS rank, arg_min(term, rank) AS term, lower(strip_accents(term)) AS f FROM c1 WHERE length(term) >= 4 GROUP BY id, lower(strip_accents(term))),
     kn AS (SELECT DISTINCT lower(strip_accents(term)) AS f FROM @glossary),
     q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rank) AS n FROM c2 WHERE f NOT IN (SELECT f FROM kn)) WHERE n <= 12),
-    d AS (SELECT 'doc-' || doc_id AS source_id, source AS title, text, lower(strip_accents(source || ' ' || text)) AS hay FROM documents),
+    d AS (SELECT source_id, source AS title, text, lower(strip_accents(source || ' ' || text)) AS hay
+          FROM (SELECT doc_id, source, text, 'doc-' || doc_id AS source_id FROM documents UNION ALL SELECT page_id, coalesce(url, ''), text, 'page-' || page_id FROM @page_text JOIN pages USING (page_id))),
     h AS (SELECT f, min(source_id) AS source_id FROM (SELECT DISTINCT f FROM q) JOIN d ON contains(hay, f) GROUP BY 1)
     SELECT id, rank, term, h.source_id, left(d.title, 120) AS citation, left(d.text, 240) AS snippet FROM q JOIN h USING (f) JOIN d USING (source_id)""")
 def join_entity_confirm(spark, sf):
@@ -319,8 +320,9 @@ def join_entity_confirm(spark, sf):
         F.col("conv_id").alias("id"), "turn", F.posexplode(F.regexp_extract_all("text", F.lit(f"({CAPS})"), F.lit(1))).alias("i", "term"))
     found = found.where(F.length("term") >= 4).select("id", (F.col("turn") * 1000 + F.col("i") + 1).alias("rank"), "term", J.fold("term").alias("f"))
     cand = found.groupBy("id", "f").agg(F.min("rank").alias("rank"), F.min_by("term", "rank").alias("term")).drop("f")
-    docs = V.table(spark, sf, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source_id"), F.col("source").alias("title"), "text")
-    return J.confirm_entities(cand, V.glossary(spark, sf), docs)
+    told = V.table(spark, sf, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source_id"), F.col("source").alias("title")).unionByName(
+        V.table(spark, sf, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("source_id"), F.coalesce("url", F.lit("")).alias("title")))
+    return J.confirm_entities(cand, V.glossary(spark, sf), V.corpus(spark, sf).join(told, "source_id"))
 
 
 def _people(spark, sf):

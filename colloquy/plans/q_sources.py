@@ -138,11 +138,11 @@ def src_llm_markdown(spark, sf):
     w = F.filter(F.split("text", r"[^\p{L}]+"), lambda t: t != "")
     line = lambda i, sep, why: F.concat(F.lit("- [0:0"), F.lit(str(i)), F.lit('] "'), F.get("w", F.lit(i)), F.lit('" ' + sep + ' "'), F.get("w", F.lit(i + 1)), F.lit('"' + why))
     doubt = F.concat(F.lit('* 00:12:30 "'), F.get("w", F.lit(0)), F.lit('" (raison : peu clair)'))
-    many = F.transform(F.slice("w", 1, 30), lambda x: F.concat(F.lit('- [0:05] "'), x, F.lit('" => "z"')))
+    many = F.transform("w", lambda x: F.concat(F.lit('- [0:05] "'), x, F.lit('" => "z"')))
     text = F.array_join(F.concat(
         F.array(F.lit("Voici"), F.lit("# Corrections"), line(1, "->", " (raison : accord)"), line(2, "→", ""), F.lit("- sans guillemets")), many,
         F.array(F.lit("# Doutes"), doubt)), "\n")
-    docs = V.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), w.alias("w")).where(F.size("w") > 3)
+    docs = V.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), w.alias("w"))
     return P.markdown_findings(docs.select("id", F.when(F.col("id") % 10 == 0, "Aucune correction.\nAucun doute.").otherwise(text).alias("text")))
 
 
