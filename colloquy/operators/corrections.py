@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
+from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,63 +58,59 @@ def betrayed(corrections: DataFrame, terms: DataFrame) -> DataFrame:
     return c.join(decides, "key").where(~kept).select("id", "term")
 
 
-def _folded(text: str):
-    """The matching form of a text and where each of its characters came from."""
-    chars, at, space, base = [], [], True, {}
-    for i, ch in enumerate(text):
-        if ch not in base:
-            base[ch] = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c)).lower()
-        for sub in base[ch]:
-            if sub.isspace():
-                if space:
-                    continue
-                sub, space = " ", True
-            else:
-                space = False
-            chars.append(sub)
-            at.append(i)
-    while chars and chars[-1] == " ":
-        chars.pop(), at.pop()
-    return "".join(chars), at
-
-
-def _form(value: str) -> str:
-    return _folded(value)[0]
-
-
-def _order(c) -> tuple:
-    m = re.match(r"(\d{1,2}):(\d{2})(?::(\d{2}))?", (c["timestamp"] or "").strip())
-    when = (int(m[1]), int(m[2]), int(m[3] or 0)) if m else (10**9, 0, 0)
-    return when + (c["seq"],)
-
-
-def _apply(text: str, corrections):
-    """Corrections of one text in time order; a later one sees the earlier edits."""
-    log, folded = [], None
-    for c in sorted(corrections, key=_order):
-        reason, n = c["early"], 0
-        if reason is None:
-            folded = folded or _folded(text)
-            form, at = folded
-            want, spots, start = _form(c["original"]), [], 0
-            while (p := form.find(want, start)) >= 0:
-                spots.append((at[p], at[p + len(want) - 1] + 1))
-                start = p + 1
-            reason = "not_found" if not spots else "betrays_glossary" if c["betrays"] else "too_distant" if c["share"] > MAX_EDIT_SHARE else None
-        if reason is None:
-            spots = spots[:MAX_OCCURRENCES]
-            for a, b in reversed(spots):
-                text = text[:a] + c["replacement"].strip() + text[b:]
-            n, folded = len(spots), None
-        log.append((c["seq"], "applied" if reason is None else reason, n))
-    return text, log
-
-
-def _apply_frames(frames):
+def _base(letter: str) -> str:
+    """Lower-case compatibility form of a character without its marks."""
+    return "".join(c for c in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(c)).lower()
+
+
+class _Text:
+    """A text whose matching form is searched; white space matches any other."""
+
+    def __init__(self, text: str):
+        self.text = text
+        table = {c: _base(c) for c in set(text)}
+        parts = [table[c] for c in text]
+        self.form, self.ends = "".join(parts), list(accumulate(map(len, parts)))
+
+    def places(self, quote: str) -> list[tuple[int, int]]:
+        """Every stretch of the text, overlapping ones too, whose matching form is that of ``quote``."""
+        wanted = "".join(map(_base, quote)).split()
+        if not wanted:
+            return []
+        pattern = re.compile("(?=(" + r"\s+".join(map(re.escape, wanted)) + "))")
+        return [(bisect_right(self.ends, m.start(1)), bisect_left(self.ends, m.end(1)) + 1) for m in pattern.finditer(self.form)]
+
+
+def _stamp(c) -> tuple:
+    """Sort key: corrections with a clock by it, the others after them, in the order given."""
+    clock = re.match(r"(\d{1,2}):(\d{2})(?::(\d{2}))?", (c["timestamp"] or "").strip())
+    return (not clock, *(int(x or 0) for x in clock.groups()), c["seq"]) if clock else (True, c["seq"])
+
+
+def _outcome(c, places) -> str:
+    """Why a correction is not applied, or that it is."""
+    checks = (("not_found", not places), ("betrays_glossary", c["betrays"]), ("too_distant", c["share"] > MAX_EDIT_SHARE))
+    return c["early"] or next((name for name, fails in checks if fails), "applied")
+
+
+def _corrected(text: str, corrections):
+    """The corrections of one text; a later one sees the text that the earlier ones leave."""
+    now, log = _Text(text), []
+    for c in sorted(corrections, key=_stamp):
+        places = [] if c["early"] else now.places(c["original"])
+        outcome = _outcome(c, places)
+        places = places[:MAX_OCCURRENCES] if outcome == "applied" else []
+        log.append((c["seq"], outcome, len(places)))
+        if places:
+            put = c["replacement"].strip()
+            now = _Text(reduce(lambda t, span: t[: span[0]] + put + t[span[1] :], reversed(places), now.text))
+    return now.text, log
+
+
+def _correct(frames):
     for pdf in frames:
-        done = [_apply(t, c) for t, c in zip(pdf["text"], pdf["corrections"])]
-        pdf["text"], pdf["log"] = [d[0] for d in done], [d[1] for d in done]
-        yield pdf[["id", "text", "log"]]
+        done = [(t, []) if c is None else _corrected(t, c) for t, c in zip(pdf["text"], pdf["corrections"])]
+        yield pdf.assign(text=[d[0] for d in done], log=[d[1] for d in done])[["id", "text", "log"]]
 
 
 def apply_corrections(texts: DataFrame, corrections: DataFrame, terms: DataFrame) -> DataFrame:
@@ -129,9 +128,7 @@ def apply_corrections(texts: DataFrame, corrections: DataFrame, terms: DataFrame
     lists = checked.groupBy("id").agg(F.collect_list("c").alias("corrections"))
     kind = texts.schema["id"].dataType.simpleString()
     log = "array<struct<seq:bigint,outcome:string,occurrences:bigint>>"
-    done = texts.select("id", "text").join(lists, "id").mapInPandas(_apply_frames, f"id {kind}, text string, log {log}")
-    rest = texts.select("id", "text").join(lists.select("id"), "id", "left_anti").withColumn("log", F.array().cast(log))
-    return done.unionByName(rest)
+    return texts.select("id", "text").join(lists, "id", "left").mapInPandas(_correct, f"id {kind}, text string, log {log}")
 
 
 LITERAL_CONFIDENCE, LITERAL_MIN_CHARS = 0.75, 3

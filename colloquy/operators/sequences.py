@@ -229,73 +229,67 @@ def absorb_orphans(segments: DataFrame) -> DataFrame:
 MICRO_MS, MICRO_GAP_MS = 400, 1_000
 
 
-def _settle_run(turns, left, right, min_ms: int, gap_ms: int):
-    """Merge and absorb the short turns between two long ones.
+_ITEM = "struct<seq:bigint,speaker:string,start_ms:bigint,end_ms:bigint,kind:string>"
+_NO_GAP = 1 << 62
 
-    Only the left long turn's end and the right one's start can change: they
-    come in as edges and go out as rows of kind 'end' and 'start'.
+
+def _settled(items: Column, min_ms: int, decide) -> Column:
+    """One pass over the items of a run: short turns go to the item before or after.
+
+    ``decide(turn, before, after)`` gives 'before', 'after' or 'stay'. What goes
+    to the item after is carried as the start it will take.
     """
-    items = [[int(t["start_ms"]), int(t["end_ms"]), t["speaker"], int(t["seq"]), "turn"] for t in turns]
-    if left is not None:
-        items.insert(0, [None, int(left["end_ms"]), left["speaker"], int(left["seq"]), "end"])
-    if right is not None:
-        items.append([int(right["start_ms"]), None, right["speaker"], int(right["seq"]), "start"])
-
-    def short(t):
-        return t[4] == "turn" and t[1] - t[0] < min_ms
-
-    i = 0
-    while i < len(items):
-        t = items[i]
-        p = items[i - 1] if i else None
-        n = items[i + 1] if i + 1 < len(items) else None
-        if not short(t):
-            i += 1
-        elif p is not None and p[2] == t[2] and t[0] - p[1] <= gap_ms:
-            p[1] = max(p[1], t[1])
-            items.pop(i)
-        elif n is not None and n[2] == t[2] and n[0] - t[1] <= gap_ms:
-            n[0] = min(n[0], t[0])
-            items.pop(i)
-        else:
-            i += 1
-    i = 0
-    while i < len(items):
-        t = items[i]
-        if not short(t) or len(items) == 1:
-            i += 1
-            continue
-        to_prev = t[0] - items[i - 1][1] if i else float("inf")
-        to_next = items[i + 1][0] - t[1] if i + 1 < len(items) else float("inf")
-        if to_prev <= to_next:
-            items[i - 1][1] = max(items[i - 1][1], t[1])
-        else:
-            items[i + 1][0] = min(items[i + 1][0], t[0])
-        items.pop(i)
-    return [(kind, seq, speaker, start, end) for start, end, speaker, seq, kind in items]
+    state = f"struct<kept:array<{_ITEM}>,carried:bigint>"
+    start = F.struct(F.array().cast(f"array<{_ITEM}>").alias("kept"), F.lit(None).cast("long").alias("carried")).cast(state)
+    pairs = F.transform(items, lambda x, i: F.struct(x.alias("x"), F.get(items, i + 1).alias("after")))
+    item = lambda x, s, e: F.struct(x["seq"].alias("seq"), x["speaker"].alias("speaker"), s.alias("start_ms"), e.alias("end_ms"), x["kind"].alias("kind")).cast(_ITEM)
+
+    def step(acc: Column, p: Column) -> Column:
+        x = item(p["x"], F.least(p["x"]["start_ms"], acc["carried"]), p["x"]["end_ms"])
+        before = F.get(acc["kept"], F.size(acc["kept"]) - 1)
+        short = (x["kind"] == "turn") & (x["end_ms"] - x["start_ms"] < min_ms)
+        goes = F.when(short, decide(x, before, p["after"])).otherwise("stay")
+        longer = item(before, before["start_ms"], F.greatest(before["end_ms"], x["end_ms"]))
+        kept = F.when(goes == "before", F.concat(F.slice(acc["kept"], 1, F.size(acc["kept"]) - 1), F.array(longer))).when(goes == "after", acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x)))
+        return F.struct(kept.alias("kept"), F.when(goes == "after", x["start_ms"]).alias("carried")).cast(state)
+
+    return F.aggregate(pairs, start, step, lambda acc: acc["kept"])
+
+
+def _to_same_voice(gap_ms: int):
+    def decide(x: Column, before: Column, after: Column) -> Column:
+        mine = lambda o, gap: o.isNotNull() & o["speaker"].eqNullSafe(x["speaker"]) & (gap <= gap_ms)
+        return F.when(mine(before, x["start_ms"] - before["end_ms"]), "before").when(mine(after, after["start_ms"] - x["end_ms"]), "after").otherwise("stay")
+
+    return decide
+
+
+def _to_nearer(x: Column, before: Column, after: Column) -> Column:
+    left, right = F.coalesce(x["start_ms"] - before["end_ms"], F.lit(_NO_GAP)), F.coalesce(after["start_ms"] - x["end_ms"], F.lit(_NO_GAP))
+    return F.when(before.isNull() & after.isNull(), "stay").when(left <= right, "before").otherwise("after")
 
 
 def fuse_micro_turns(turns: DataFrame, min_ms: int = MICRO_MS, gap_ms: int = MICRO_GAP_MS) -> DataFrame:
     """Turns without flickers: short ones merged or absorbed, neighbours joined (fold_micro_turns).
 
     Long turns split a recording into independent runs of short ones. A run
-    is one row, and Python sees nothing but these runs. The last pass joins same-speaker turns against the running
-    largest end, as an island over scans.
+    is one row with the end of the long turn before it and the start of the one
+    after it, which are all of those turns that a run can change. The last pass joins
+    same-speaker turns against the running largest end, as an island over scans.
     """
     cols = ["job_id", "seq", "speaker", "start_ms", "end_ms"]
     long = F.col("end_ms") - F.col("start_ms") >= min_ms
     me = F.when(long, F.struct("seq", "speaker", "start_ms", "end_ms"))
     rows = scan(turns.select(*cols), [Step("_l", "last_before", me), Step("_r", "next", me)])
+    turn = F.struct("seq", "speaker", "start_ms", "end_ms", F.lit("turn").alias("kind")).cast(_ITEM)
     run = rows.where(~long).groupBy("job_id", F.coalesce("_l.seq", F.lit(-1).cast("long")).alias("run")).agg(
-        F.sort_array(F.collect_list(F.struct("seq", "speaker", "start_ms", "end_ms"))).alias("turns"), F.first("_l").alias("l"), F.first("_r").alias("r"))
-
-    def settle(frames):
-        for pdf in frames:
-            pdf["out"] = [_settle_run(t, l, r, min_ms, gap_ms) for t, l, r in zip(pdf["turns"], pdf["l"], pdf["r"])]
-            yield pdf[["job_id", "out"]]
-
-    out = "job_id long, out array<struct<kind:string,seq:long,speaker:string,start_ms:long,end_ms:long>>"
-    settled = run.select("job_id", "turns", "l", "r").mapInPandas(settle, out).select("job_id", F.inline("out"))
+        F.sort_array(F.collect_list(turn)).alias("turns"), F.first("_l").alias("l"), F.first("_r").alias("r"))
+    none, nobody = F.lit(None).cast("long"), F.array().cast(f"array<{_ITEM}>")
+    edge = lambda e, s, t, kind: F.when(e.isNull(), nobody).otherwise(F.array(F.struct(e["seq"].alias("seq"), e["speaker"].alias("speaker"), s.alias("start_ms"), t.alias("end_ms"), F.lit(kind).alias("kind")).cast(_ITEM)))
+    items = F.concat(edge(F.col("l"), none, F.col("l.end_ms"), "end"), F.col("turns"), edge(F.col("r"), F.col("r.start_ms"), none, "start"))
+    bind = lambda value, f: F.flatten(F.transform(F.array(value), f))
+    merged = bind(items, lambda x: _settled(x, min_ms, _to_same_voice(gap_ms)))
+    settled = run.select("job_id", F.inline(bind(merged, lambda x: _settled(x, min_ms, _to_nearer))))
     settled = stage.cut(settled, "micro")
     end = settled.where("kind = 'end'").select("job_id", "seq", F.col("end_ms").alias("_e"))
     start = settled.where("kind = 'start'").select("job_id", "seq", F.col("start_ms").alias("_s"))

@@ -156,15 +156,29 @@ def test_paragraphs(spark):
 
 
 def test_text_chunks(spark):
-    texts = [("short", "a\nb"), ("long", "\n".join(f"line {i} " + "x" * (i % 37) for i in range(400))), ("solid", "y" * 5000)]
-    df = spark.createDataFrame(texts, "id string, text string")
-    got = {}
-    for r in chunks.text_chunks(df, ["id"], 1000, 100).orderBy("id", "index").collect():
+    from colloquy.operators import chunks
+
+    line = lambda c, n: c * n + "\n"
+    rows = [
+        ("short", "abc"), ("empty", ""), ("null", None), ("exact", "x" * 100),
+        ("solid", "y" * 250),  # no line to cut at: full windows, 20 shared
+        ("lines", line("a", 39) + line("b", 39) + line("c", 39) + line("d", 39)),  # cut before the newline past the half
+        ("steps", line("g", 9) * 30),  # the next window opens on a line start within the overlap
+        ("early", line("e", 10) + "f" * 150),  # a newline before the half is no cut
+    ]
+    want = {
+        "short": ["abc"], "empty": [""], "null": [""], "exact": ["x" * 100],
+        "solid": ["y" * 100, "y" * 100, "y" * 90],
+        "lines": [line("a", 39) + "b" * 39, line("b", 20) + "c" * 39, line("c", 20) + line("d", 39)],
+        "steps": [(line("g", 9) * 10)[:-1]] * 3 + [line("g", 9) * 6],
+        "early": [line("e", 10) + "f" * 89, "f" * 81],
+    }
+    got: dict[str, list[str]] = {}
+    df = spark.createDataFrame(rows, "id string, text string")
+    for r in chunks.text_chunks(df, ["id"], 100, 20).orderBy("id", "index").collect():
         got.setdefault(r.id, []).append(r.text)
-    for name, text in texts:
-        assert got[name] == [text[a:b] for a, b in chunks._cut_points(text, 1000, 100)]
-    assert len(got["short"]) == 1 and got["long"][0].startswith("line 0") and all(len(t) <= 1000 for t in got["long"])
-    assert all(t.startswith("line") for t in got["long"])
+        assert r.total == len(want[r.id])
+    assert got == want
     with pytest.raises(ValueError):
         chunks.text_chunks(df, ["id"], 100, 100)
 
