@@ -223,11 +223,13 @@ _SEC = "CAST({c} // 1000 AS VARCHAR) || '.' || printf('%03d', {c} % 1000)"
     UNION ALL SELECT DISTINCT 'vtt', job_id, -2, 'WEBVTT' FROM n UNION ALL SELECT DISTINCT 'vtt', job_id, -1, '' FROM n
     UNION ALL SELECT DISTINCT 'tsv', job_id, -1, 'start' || chr(9) || 'end' || chr(9) || 'text' FROM n
     UNION ALL SELECT 'tsv', job_id, seq, {_SEC.format(c='start_ms')} || chr(9) || {_SEC.format(c='end_ms')} || chr(9) || text FROM n
+    UNION ALL SELECT 'json', job_id, seq, CASE WHEN n > 1 THEN ',' ELSE '' END || '{{"start": ' || {_SEC.format(c='start_ms')} || ', "end": ' || {_SEC.format(c='end_ms')} || ', "text": ' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || '}}' FROM n
+    UNION ALL SELECT DISTINCT 'json', job_id, -1, '{{"segments": [' FROM n UNION ALL SELECT 'json', job_id, max(seq) + 1, ']}}' FROM n GROUP BY job_id
     UNION ALL SELECT 'txt', job_id, seq, text FROM n WHERE text <> ''""")
 def sink_plain(spark, sf):
     seg = V.segments(spark, sf)
     out = None
-    for fmt in ("srt", "vtt", "tsv", "txt"):
+    for fmt in ("srt", "vtt", "tsv", "json", "txt"):
         one = R.render(seg, fmt).select(F.lit(fmt).alias("fmt"), "job_id", "line_no", "line")
         out = one if out is None else out.unionByName(one)
     return out
@@ -239,11 +241,17 @@ def sink_plain(spark, sf):
     UNION ALL SELECT 'srt', job_id, n * 4 + 1, {_t('start_ms', ',')} || ' --> ' || {_t('end_ms', ',')} FROM n
     UNION ALL SELECT 'srt', job_id, n * 4 + 2, body FROM n UNION ALL SELECT 'srt', job_id, n * 4 + 3, '' FROM n
     UNION ALL SELECT DISTINCT 'tsv', job_id, -1, 'start' || chr(9) || 'end' || chr(9) || 'speaker' || chr(9) || 'text' FROM n
-    UNION ALL SELECT 'tsv', job_id, seq, {_SEC.format(c='start_ms')} || chr(9) || {_SEC.format(c='end_ms')} || chr(9) || coalesce(speaker, '?') || chr(9) || text FROM n""")
+    UNION ALL SELECT 'tsv', job_id, seq, {_SEC.format(c='start_ms')} || chr(9) || {_SEC.format(c='end_ms')} || chr(9) || coalesce(speaker, '?') || chr(9) || text FROM n
+    UNION ALL SELECT 'vtt', job_id, seq * 4, {_t('start_ms', '.')} || ' --> ' || {_t('end_ms', '.')} FROM n
+    UNION ALL SELECT 'vtt', job_id, seq * 4 + 1, body FROM n UNION ALL SELECT 'vtt', job_id, seq * 4 + 2, '' FROM n
+    UNION ALL SELECT DISTINCT 'vtt', job_id, -2, 'WEBVTT' FROM n UNION ALL SELECT DISTINCT 'vtt', job_id, -1, '' FROM n
+    UNION ALL SELECT 'json', job_id, seq, CASE WHEN n > 1 THEN ',' ELSE '' END || '{{"start": ' || {_SEC.format(c='start_ms')} || ', "end": ' || {_SEC.format(c='end_ms')} || ', "speaker": ' || coalesce(CAST(to_json(speaker) AS VARCHAR), 'null')
+        || ', "text": ' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || '}}' FROM n
+    UNION ALL SELECT DISTINCT 'json', job_id, -1, '{{"segments": [' FROM n UNION ALL SELECT 'json', job_id, max(seq) + 1, ']}}' FROM n GROUP BY job_id""")
 def sink_speakers(spark, sf):
     cap = V.captions(spark, sf)
     one = lambda fmt: R.render(cap, fmt, speakers=True).select(F.lit(fmt).alias("fmt"), "job_id", "line_no", "line")
-    return one("srt").unionByName(one("tsv"))
+    return one("srt").unionByName(one("tsv")).unionByName(one("vtt")).unionByName(one("json"))
 
 
 @query("sink_speakers_txt")

@@ -29,7 +29,8 @@ def _cues(rows: DataFrame, *lines: Column) -> DataFrame:
 def render(segments: DataFrame, fmt: str, speakers: bool = False) -> DataFrame:
     """Lines of every recording in txt, tsv, srt, vtt or json (sink_plain, sink_speakers).
 
-    Header lines have negative numbers. JSON is one segment object per line.
+    Header lines have negative numbers. The lines of JSON make up one document
+    with the list ``segments``, times in seconds, a segment on each line.
     """
     said = F.coalesce("text", F.lit(""))
     label = F.coalesce(F.nullif(F.col("speaker"), F.lit("")), F.lit("?")) if speakers else None
@@ -45,8 +46,15 @@ def render(segments: DataFrame, fmt: str, speakers: bool = False) -> DataFrame:
         rows = segments.select("job_id", F.col("seq").alias("line_no"), F.concat_ws("\t", *cols).alias("line"))
         return _head(segments, "start\tend\tspeaker\ttext" if speakers else "start\tend\ttext").unionByName(rows)
     if fmt == "json":
-        keep = [c for c in ("start_ms", "end_ms", "speaker", "text", "words") if c in segments.columns and (speakers or c != "speaker")]
-        return segments.select("job_id", F.col("seq").alias("line_no"), F.to_json(F.struct(*keep)).alias("line"))
+        quoted = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'^\{"v":([\s\S]*)\}$', 1), F.lit(""))
+        told = lambda c: F.when(c.isNull(), "null").otherwise(quoted(c))
+        sec = lambda c: F.format_string("%d.%03d", F.floor(F.col(c) / 1000), F.col(c) % 1000)
+        who = [F.lit(', "speaker": '), told(F.col("speaker"))] if speakers else []
+        rows = scan(segments, [Step("_before", "lag", F.lit(True))])
+        one = F.concat(F.lit('{"start": '), sec("start_ms"), F.lit(', "end": '), sec("end_ms"), *who, F.lit(', "text": '), told(F.col("text")), F.lit("}"))
+        rows = rows.select("job_id", F.col("seq").alias("line_no"), F.concat(F.when(F.col("_before"), ",").otherwise(""), one).alias("line"))
+        tail = segments.groupBy("job_id").agg((F.max("seq") + 1).alias("line_no")).withColumn("line", F.lit("]}"))
+        return _head(segments, '{"segments": [').unionByName(rows).unionByName(tail)
     body = F.concat(F.lit("["), label, F.lit("] "), said) if speakers else said
     if fmt == "srt":
         rows = scan(segments, [Step("n", "sum", F.lit(1).cast("long"))])
