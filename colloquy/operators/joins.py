@@ -273,6 +273,8 @@ def meetings_near(recordings: DataFrame, meetings: DataFrame, partners: DataFram
     """
     half = int(max(MIN_WINDOW_HOURS, window_hours) * HOUR_US)
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    # Recordings of the same instant share their meetings.
+    asked, recordings = recordings.select("rec_id", "near"), recordings.select(F.col("near").alias("rec_id"), "near").distinct()
     rec = recordings.select("rec_id", (us("near") - half).alias("lo"), (us("near") + half).alias("hi"))
     rec = rec.withColumn("_b", _buckets(F.col("lo"), F.col("hi"), HOUR_US))
     meet = meetings.select("meeting_id", us("start_at").alias("s"), us("stop_at").alias("e"), "partner_ids")
@@ -283,8 +285,9 @@ def meetings_near(recordings: DataFrame, meetings: DataFrame, partners: DataFram
     head = head.where(F.size("partner_ids") >= MEETING_MIN_PEOPLE).select("rec_id", "meeting_id", "rank", "partner_ids")
     seats = head.select("rec_id", "meeting_id", "rank", F.posexplode("partner_ids").alias("_p", "partner_id"))
     who = partners.select("partner_id", F.struct(F.col("partner_id").alias("id"), "name", "email", "company").alias("person"))
-    return seats.join(who, "partner_id", "left").groupBy("rec_id", "meeting_id", "rank").agg(
+    told = seats.join(who, "partner_id", "left").groupBy("rec_id", "meeting_id", "rank").agg(
         F.transform(F.array_sort(F.collect_list(F.when(F.col("person").isNotNull(), F.struct("_p", "person")))), lambda x: x["person"]).alias("attendees"))
+    return asked.join(told.withColumnRenamed("rec_id", "near"), "near").select("rec_id", "meeting_id", "rank", "attendees")
 
 
 QUOTES_PER_LEAD, CHATTER_PER_RECORD = 5, 8
@@ -422,17 +425,18 @@ def name_matches(queries: DataFrame, profiles: DataFrame) -> DataFrame:
     """Pairs of query and profile whose names line up, with the strength.
 
     ``queries``: query_id, query. ``profiles``: profile_id, name, alias,
-    updated_at. A match contains the query, so it contains its first
-    characters: an equi-join on those, then the exact test.
+    updated_at. A match contains the query, so it contains every piece of it:
+    an equi-join on the piece that the fewest names hold, then the exact test.
     """
     q = queries.select("query_id", fold_name("query").alias("q")).where(F.col("q") != "")
-    q = q.withColumn("key", F.substring("q", 1, KEY_CHARS))
     names = profiles.select("profile_id", "name", "updated_at", F.explode(F.array_distinct(F.filter(
         F.array(fold_name("name"), fold_name(F.coalesce("alias", F.lit("")))), lambda n: n != ""))).alias("n"))
-    # Which of the eight key sizes occur: eight numbers at most.
-    sizes = sorted(r[0] for r in q.select(F.length("key")).distinct().collect())
-    names = names.withColumn("key", F.explode(_pieces(F.col("n"), sizes or [1])))
-    return q.join(names, "key").withColumn("s", name_strength(F.col("q"), F.col("n"))).where(F.col("s") > NONE).groupBy(
+    names = names.withColumn("key", F.explode(_pieces(F.col("n"), range(1, KEY_CHARS + 1))))
+    held = names.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
+    size = F.least(F.length("q"), F.lit(KEY_CHARS))
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("q") - size + 1), lambda i: F.substring(F.col("q"), i, size)))
+    rarest = q.select("q", F.explode(pieces).alias("key")).distinct().join(held, "key").groupBy("q").agg(F.min_by("key", F.struct("held", "key")).alias("key"))
+    return q.join(rarest, "q").join(names, "key").withColumn("s", name_strength(F.col("q"), F.col("n"))).where(F.col("s") > NONE).groupBy(
         "query_id", "profile_id").agg(F.max("s").alias("strength"), F.first("name").alias("name"), F.first("updated_at").alias("updated_at"))
 
 
