@@ -142,7 +142,13 @@ def agg_weak_ratio(spark, sf):
     return S.repass_gates(seg, S.clip_ranges(S.weak_segments(seg)), S.boundary_segments(V.captions(spark, sf)))
 
 
-@query("fold_orphans")
+@query("fold_orphans", """
+    WITH n AS (SELECT *, speaker IS NULL AND end_ms - start_ms <= 600 AS orphan, start_ms - lag(end_ms) OVER w AS before,
+                      lead(start_ms) OVER w - end_ms AS after, nullif(lead(speaker) OVER w, '') AS nxt FROM @captions WINDOW w AS (PARTITION BY job_id ORDER BY seq)),
+    s AS (SELECT *, CASE WHEN NOT orphan THEN coalesce(speaker, '') WHEN before > 2000 THEN '' END AS told FROM n),
+    p AS (SELECT *, nullif(last_value(told IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS prev FROM s)
+    SELECT job_id, seq, CASE WHEN NOT orphan THEN speaker WHEN prev IS NOT NULL AND nxt IS NOT NULL THEN CASE WHEN prev = nxt THEN prev WHEN after <= before THEN nxt ELSE prev END
+                             WHEN nxt IS NOT NULL AND after <= 2000 THEN nxt WHEN prev IS NOT NULL AND before <= 2000 THEN prev END AS speaker FROM p""")
 def fold_orphans(spark, sf):
     return S.absorb_orphans(V.captions(spark, sf)).select("job_id", "seq", "speaker")
 
@@ -152,7 +158,15 @@ def fold_micro_turns(spark, sf):
     return S.fuse_micro_turns(V.turns(spark, sf))
 
 
-@query("fold_paragraphs")
+@query("fold_paragraphs", """
+    SELECT job_id, speaker, seq, start_ms, end_ms, n, text FROM (
+        WITH RECURSIVE c AS (SELECT job_id, seq, start_ms, end_ms, coalesce(nullif(speaker, ''), '?') AS speaker, coalesce(text, '') AS text, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS rn FROM @captions),
+        p AS (SELECT job_id, rn, start_ms AS opened, seq AS head, end_ms, speaker FROM c WHERE rn = 1
+              UNION ALL SELECT c.job_id, c.rn, CASE WHEN c.speaker <> p.speaker OR c.start_ms - p.end_ms >= 1200 OR c.start_ms - opened >= 25000 THEN c.start_ms ELSE opened END,
+                               CASE WHEN c.speaker <> p.speaker OR c.start_ms - p.end_ms >= 1200 OR c.start_ms - opened >= 25000 THEN c.seq ELSE head END, c.end_ms, c.speaker
+              FROM p JOIN c ON c.job_id = p.job_id AND c.rn = p.rn + 1)
+        SELECT job_id, min(c.speaker) AS speaker, head AS seq, min(c.start_ms) AS start_ms, arg_max(c.end_ms, c.seq) AS end_ms, count(*) AS n, trim(string_agg(c.text, ' ' ORDER BY c.seq)) AS text
+        FROM p JOIN c USING (job_id, rn) GROUP BY job_id, head)""")
 def fold_paragraphs(spark, sf):
     return S.paragraphs(V.captions(spark, sf))
 

@@ -133,7 +133,13 @@ def src_last_json_line(spark, sf):
         bad.select("id.job_id", "id.chunk", F.col("reason").alias("state"), F.lit(0).cast("long").alias("turns")))
 
 
-@query("src_llm_markdown")
+@query("src_llm_markdown", r"""
+    WITH d AS (SELECT doc_id AS id, list_filter(string_split_regex(text, '[^\p{L}]+'), lambda t: t <> '') AS w FROM documents WHERE doc_id % 10 <> 0),
+    f AS (SELECT id, -2 AS pos, '0:01' AS timestamp, w[2] AS original, w[3] AS replacement, 'accord' AS reason FROM d WHERE len(w) >= 3
+          UNION ALL SELECT id, -1, '0:02', w[3], w[4], '' FROM d WHERE len(w) >= 4
+          UNION ALL SELECT id, i, '0:05', w[i], 'z', '' FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM d))
+    SELECT id, 'correction' AS kind, n, timestamp, original, replacement, CAST(0.85 AS DOUBLE) AS confidence, reason FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM f) WHERE n <= 20
+    UNION ALL SELECT id, 'doubt', 1, '00:12:30', w[1], NULL, NULL, 'peu clair' FROM d WHERE len(w) >= 1""")
 def src_llm_markdown(spark, sf):
     w = F.filter(F.split("text", r"[^\p{L}]+"), lambda t: t != "")
     line = lambda i, sep, why: F.concat(F.lit("- [0:0"), F.lit(str(i)), F.lit('] "'), F.get("w", F.lit(i)), F.lit('" ' + sep + ' "'), F.get("w", F.lit(i + 1)), F.lit('"' + why))

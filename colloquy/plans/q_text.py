@@ -332,7 +332,16 @@ def topk_fallback_models(spark, sf):
     return R.fallback_models(V.api_usage(spark, sf).select("model").distinct(), catalogue(spark), fallbacks)
 
 
-@query("fold_text_chunks")
+@query("fold_text_chunks", """
+    WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+    w AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS opened, CAST(-1 AS BIGINT) AS stop FROM d
+          UNION ALL SELECT doc_id, i + (stop >= 0)::INT, CASE WHEN stop >= 0 THEN after ELSE opened END, cut FROM (
+              SELECT *, CASE WHEN opening > 0 AND back + opening - 1 < stop THEN back + opening ELSE back END AS after FROM (
+                  SELECT w.*, d.n, d.text, greatest(stop - 300, opened + 1) AS back, strpos(substr(d.text, greatest(stop - 300, opened + 1) + 1), chr(10)) AS opening FROM w JOIN d USING (doc_id) WHERE stop < d.n)) o,
+              LATERAL (SELECT CASE WHEN stop >= 0 THEN after ELSE opened END AS here) h,
+              LATERAL (SELECT strpos(reverse(substr(text, here + 1, 4000)), chr(10)) AS r) q,
+              LATERAL (SELECT CASE WHEN here + 4000 >= n THEN n WHEN r > 0 AND here + 4000 - r > here + 2000 THEN here + 4000 - r ELSE here + 4000 END AS cut) z)
+    SELECT doc_id, i AS "index", count(*) OVER (PARTITION BY doc_id) AS total, substr(text, opened + 1, stop - opened) AS text FROM w JOIN d USING (doc_id) WHERE stop >= 0""")
 def fold_text_chunks(spark, sf):
     """Windows of 4 000 characters, as few documents reach the default of 22 000."""
     from colloquy.operators.chunks import text_chunks
