@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.llm.written import written
+
 ROLES = ("system", "user", "assistant", "tool")
 #: Words that name a role in a marker, lower case.
 SPEAKERS = {
@@ -142,9 +144,9 @@ def best_path(first: np.ndarray, scores: np.ndarray, step: np.ndarray, last: int
 
 
 def edge_states(tables: list[np.ndarray], heads: np.ndarray) -> list[int]:
-    """State of the last line of each block on the best path. ``heads``: the first block's scores by its last state."""
+    """State of the last line of each block on the best path. ``heads``: the first block's scores by its last state; ``tables``: those of the others."""
     best, back = heads, []
-    for t in tables[1:]:
+    for t in tables:
         way = best[:, None] + t
         back.append(way.argmax(axis=0))
         best = way.max(axis=0)
@@ -186,14 +188,16 @@ def label_lines(lines: DataFrame, m: Model) -> DataFrame:
 
     def tables(batches):
         for rows in _runs(batches, 2):
-            best = block_table(m.step, _scores(m, rows), m.step)
-            head = block_table(np.repeat(m.start[None], N, axis=0), _scores(m, rows), m.step)[0]
-            yield pa.record_batch([rows.column("conv")[:1].combine_chunks(), rows.column("block")[:1].combine_chunks(), pa.array([best.ravel().tolist()]), pa.array([head.tolist()])], names=["conv", "block", "best", "head"])
+            scores = _scores(m, rows)
+            # block 0 is entered from nowhere, so only its scores by last state are needed
+            best = block_table(m.step, scores, m.step) if rows.column("block")[0].as_py() else np.zeros((0, 0))
+            head = block_table(m.start[None], scores, m.step)[0]
+            yield pa.record_batch([rows.column("conv")[:1].combine_chunks(), rows.column("block")[:1].combine_chunks(), pa.array([best.ravel().tolist()], pa.list_(pa.float64())), pa.array([head.tolist()])], names=["conv", "block", "best", "head"])
 
     def edges(batches):
         for rows in _runs(batches, 1):
             blocks = rows.column("block").to_pylist()
-            last = edge_states([np.array(x).reshape(N, N) for x in rows.column("best").to_pylist()], np.array(rows.column("head")[0].as_py()))
+            last = edge_states([np.array(x).reshape(N, N) for x in rows.column("best").to_pylist()[1:]], np.array(rows.column("head")[0].as_py()))
             yield pa.record_batch([rows.column("conv").combine_chunks(), pa.array(blocks), pa.array([-1, *last[:-1]], pa.int32()), pa.array(last, pa.int32())], names=["conv", "block", "enters", "leaves"])
 
     kind = dict(lines.dtypes)["conv"]
@@ -213,6 +217,7 @@ def label_lines(lines: DataFrame, m: Model) -> DataFrame:
 
 def turns(labelled: DataFrame) -> DataFrame:
     """(conv, turn, role, text, rendered): lines of a turn joined, its marker taken off, turns numbered from 0."""
+    labelled = written(labelled, "labelled")  # counted and numbered
     begins = labelled.groupBy("conv", "block").agg(F.sum(F.col("begins").cast("long")).alias("n"))
     earlier = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
     before = begins.select("conv", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
@@ -228,7 +233,7 @@ def format_chats(lines: DataFrame, m: Model) -> DataFrame:
     """Canonical turns of transcripts given as lines (conv, block, pos, line), one row per turn.
 
     ``pos`` orders a conversation's lines (gaps are fine, ties go by what the lines show);
-    ``block`` cuts it into stretches in the same order, each of a task's size.
+    ``block``, from 0 on, cuts it into stretches in the same order, each of a task's size.
     Null lines are empty lines; lines of no conversation or without a place are left
     out, as nothing orders them. No lines: no turns. The lines of a turn are gathered,
     never a conversation.
@@ -245,4 +250,4 @@ def transcript_lines(rows: DataFrame, conv: str = "conv_id", turn: str = "turn",
     body = F.concat(F.when(shown, F.concat(F.initcap(role), F.lit(": "))).otherwise(F.lit("")), F.coalesce(F.col(text), F.lit("")))
     named = rows.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), body.alias("body"))
     split = named.select("conv", "turn", F.posexplode(F.split("body", "\n")).alias("at", "line"))
-    return split.select("conv", F.floor(F.col("turn") / BLOCK_TURNS).alias("block"), (F.shiftleft("turn", 32) + F.col("at")).alias("pos"), "line")
+    return split.select("conv", F.greatest(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(0)).alias("block"), (F.shiftleft("turn", 32) + F.col("at")).alias("pos"), "line")

@@ -242,11 +242,12 @@ def test_blocks_change_nothing(spark, monkeypatch):
 
 
 def test_chats_of_odd_rows(spark):
-    rows = [(1, 0, "user", "Hello?"), (1, 1, "assistant", "**Bot:** yes\n\nno"), (1, 2, None, None), (2, 0, "user", ""), (2, 0, "user", ""), (None, 0, "user", "x"), (3, None, "user", "y"), (4, 5, "narrator", "once"), (5, 0, "tool", "z " * 50_000)]
+    rows = [(1, 0, "user", "Hello?"), (1, 1, "assistant", "**Bot:** yes\n\nno"), (1, 2, None, None), (2, 0, "user", ""), (2, 0, "user", ""), (None, 0, "user", "x"), (3, None, "user", "y"), (4, 5, "narrator", "once"), (6, -3, "user", "early"), (6, 70, "assistant", "late"), (5, 0, "tool", "z " * 50_000)]
     said = messages(spark, rows).selectExpr("*", "1 as block", "2 as pos", "3 as line")
     m = chat_format.fit(said.withColumnRenamed("conv_id", "conv"))
     got = chat_format.format_chats(chat_format.transcript_lines(said), m).collect()
-    assert {r.conv for r in got} == {1, 2, 4, 5}
+    assert {r.conv for r in got} == {1, 2, 4, 5, 6}
+    assert [(r.turn, r.role, r.text) for r in sorted((r for r in got if r.conv == 6), key=lambda r: r.turn)] == [(0, "user", "early"), (1, "assistant", "late")]
     assert [r.role for r in sorted((r for r in got if r.conv == 1), key=lambda r: r.turn)][:2] == ["user", "assistant"]
     assert next(r for r in got if r.conv == 5).role == "tool"
     assert chat_format.format_chats(chat_format.transcript_lines(said.limit(0)), m).collect() == []
