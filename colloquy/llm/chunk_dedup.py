@@ -3,8 +3,9 @@
 A gear hash rolls over the bytes of a text; a word end where it falls below a
 threshold cuts. Cuts hang on the last bytes only, so an insertion moves the
 chunks around it and no others, and a passage is cut alike in every document.
-Chunks meet by digest; the document of the smallest id keeps a chunk, and what
-the others hold of it goes wherever repeated chunks in a row make up enough words.
+Chunks in a row that make up enough words meet by digest as one stretch; the
+document of the smallest id keeps a stretch, and the others lose it. So what goes
+stands together in one other place, and chunks that are common alone stay.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ from pyspark.sql import types as T
 WINDOW = 16
 #: A cut comes at about one word end in CUT_ONE_IN.
 CUT_ONE_IN = 4
-#: Words that repeated chunks in a row must have to go.
+#: Words of a stretch, which must stand together in another place to go.
 LEAST_WORDS = 16
 #: Bytes chunked at once.
 PIECE = 1 << 20
 
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 _GEAR[0] = 0
+_BASE = 0x9E3779B97F4A7C15
+_UNBASE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -80,26 +83,51 @@ def _first_in_text(digests: np.ndarray) -> np.ndarray:
     return first
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def stretches(digests: np.ndarray, n_words: np.ndarray, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first chunk, chunk after the last, digest) of the shortest stretches of enough words from each chunk on and up to each chunk.
+
+    Any run of chunks of enough words is covered by the stretches inside it.
+    """
+    n = len(digests)
+    total = np.concatenate(([0], np.cumsum(n_words)))
+    ahead = np.searchsorted(total, total[:-1] + least_words)
+    back = np.searchsorted(total, total[1:] - least_words, "right") - 1
+    up, down = np.flatnonzero(ahead <= n), np.flatnonzero(back >= 0)
+    pairs = np.unique(np.concatenate((up * (n + 1) + ahead[up], back[down] * (n + 1) + down + 1)))
+    first, last = pairs // (n + 1), pairs % (n + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(digests.view(np.uint64) * _powers(_BASE, n), dtype=np.uint64)))
+    return first, last, ((sums[last] - sums[first]) * _powers(_UNBASE, n)[first]).view(np.int64)
+
+
 def repeated_spans(ends, digests, n_words, elsewhere, least_words: int = LEAST_WORDS) -> list[tuple[int, int]]:
-    """Byte spans to take out: chunks kept in another text or earlier in this one, in runs of enough words."""
-    gone = np.isin(digests, elsewhere) | ~_first_in_text(digests)
+    """Byte spans to take out: stretches kept in another text or earlier in this one."""
+    first, last, told = stretches(digests, n_words, least_words)
+    # in the order of their places, so that the first of equal stretches stays
+    gone = np.isin(told, elsewhere) | ~_first_in_text(told)
     if not gone.any():
         return []
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
+    n = len(digests)
+    inside = np.cumsum(np.bincount(first[gone], minlength=n + 1) - np.bincount(last[gone], minlength=n + 1)) > 0
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside[:n], [False])).astype(np.int8)))
     starts = np.concatenate(([0], ends))
-    total = np.concatenate(([0], np.cumsum(n_words)))
-    return [(int(starts[a]), int(starts[b])) for a, b in edge.reshape(-1, 2) if total[b] - total[a] >= least_words]
+    return [(int(starts[a]), int(starts[b])) for a, b in edge.reshape(-1, 2)]
 
 
-def chunk_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(digest, doc_id) of every different chunk of every document."""
+def stretch_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(digest, doc_id) of every different stretch of every document."""
 
     def work(batches):
         for batch in batches:
             ids = batch.column(0)
             held_ids, held, n = [], [], 0
-            for r, (_, digests, _) in enumerate(chunked(batch.column(1).cast(pa.binary()).to_pylist())):
-                own = np.unique(digests)
+            for r, (_, digests, n_words) in enumerate(chunked(batch.column(1).cast(pa.binary()).to_pylist())):
+                own = np.unique(stretches(digests, n_words)[2])
                 held.append(own)
                 held_ids.append(np.full(len(own), r))
                 n += len(own)
@@ -117,13 +145,14 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     place does. ``spans`` names a column for the (start, end) byte spans that
     went. Null and empty texts stay as they are. Rows that share an id count as
     one document, each still losing what it repeats itself; rows with a null id
-    come after all others. Nothing shorter than LEAST_WORDS words in a row goes.
+    come after all others. Nothing goes that does not stand with LEAST_WORDS words
+    in a row in one other place.
     """
     last = (1 << 63) - 1
     keyed = docs.withColumn("_key", F.coalesce(F.col(doc_id).cast("long"), F.lit(last)))
-    chunks = chunk_digests(keyed, "_key", text)
-    repeated = chunks.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("latest")).where("keeper <> latest").select("digest", "keeper")
-    losing = chunks.join(repeated, "digest").where("doc_id <> keeper").groupBy(F.col("doc_id").alias("_key")).agg(F.collect_set("digest").alias("_elsewhere"))
+    told = stretch_digests(keyed, "_key", text)
+    repeated = told.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("latest")).where("keeper <> latest").select("digest", "keeper")
+    losing = told.join(repeated, "digest").where("doc_id <> keeper").groupBy(F.col("doc_id").alias("_key")).agg(F.collect_set("digest").alias("_elsewhere"))
     target = to or text
     out = [f for f in docs.schema.fields if f.name not in (target, spans)]
     kinds = [*out, T.StructField(target, T.StringType())]
