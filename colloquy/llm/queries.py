@@ -95,7 +95,7 @@ PATTERNS = [
     url_rules.Pattern("ads", r"^[^:]*://[^/?#]*\bads-track\b", ("ads", "track")),
     url_rules.Pattern("spam", r"^[^:]*://[^/?#]*\bspam-farm\b", ("spam", "farm")),
     url_rules.Pattern("pills", r"^[^:]*://[^/?#]*\bcheap-pills\b", ("cheap", "pills")),
-    url_rules.Pattern("blog-feed", r"^[^:]*://blog\.[^?#]*\?utm_source=feed", ("blog", "utm", "source", "feed")),
+    url_rules.Pattern("blog-feed", r"^[^:]*://blog\.[^?#]*\?utm_source=feed", ("blog", "utm", "source")),
 ]
 _HOST_SQL = r"translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH_SQL = r"coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '')"
