@@ -77,9 +77,21 @@ def packed(bins: Column) -> Column:
     return F.flatten(F.transform(bound, lambda v: F.transform(F.sequence(F.lit(0), F.lit(BINS // _PER_LONG - 1)), lambda g: join(F.slice(v, g * _PER_LONG + 1, _PER_LONG)))))
 
 
-def fingerprint(text: Column) -> Column:
-    """Packed fingerprint (array<bigint>) of a text. Null, empty and blank texts share one of their own."""
-    return packed(densified(bin_minima(shingles_of(text))))
+def told_by_bin(bins: Column) -> Column:
+    """Every bin's hash taken anew with the bin's number, so that two different hashes agree in each bin they fill by a chance of its own."""
+    bound = F.array(bins)
+    return F.flatten(F.transform(bound, lambda v: F.transform(v, lambda x, i: F.xxhash64(x, i))))
+
+
+def fingerprint(text: Column, by_bin: bool = False) -> Column:
+    """Packed fingerprint (array<bigint>) of a text. Null, empty and blank texts share one of their own.
+
+    ``by_bin`` stores each bin's hash with its number, which ``likeness`` counts
+    on; without it a short text, whose few hashes fill many bins, looks like
+    every text whose hashes end in the same bits.
+    """
+    bins = densified(bin_minima(shingles_of(text)))
+    return packed(told_by_bin(bins) if by_bin else bins)
 
 
 def shingles_of(text: Column) -> Column:

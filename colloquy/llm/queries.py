@@ -21,14 +21,14 @@ def op1_minhash_fingerprints(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", text.alias("text")).withColumn("h", F.xxhash64("text"))
     ids = docs.select("doc_id", "h", F.char_length("text").alias("n")).distinct()
     links = with_next(ids, ["doc_id", "h"]).select("doc_id", "h", "n", F.col("next.doc_id").alias("next_id"), F.col("next.h").alias("next_h"))
-    marked = docs.withColumn("fp", minhash.fingerprint(F.col("text")))
+    marked = docs.withColumn("fp", minhash.fingerprint(F.col("text"), by_bin=True))
     # both joins take the marked texts as they are, so that they are shuffled once
     after = links.alias("l").join(marked.alias("f"), F.col("l.next_id").eqNullSafe(F.col("f.doc_id")) & (F.col("l.next_h") == F.col("f.h")))
     third = F.floor(F.col("l.n") / 3).cast("int")
     tails = after.select(F.col("l.doc_id").alias("t_id"), F.col("l.h").alias("t_h"), F.col("l.n").alias("n"), F.left("f.text", third).alias("tail"), F.col("f.fp").alias("next_fp"))
     both = marked.join(tails, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("t_h")))
     both = both.select("doc_id", "text", "n", "fp", "next_fp", F.concat(F.left("text", (F.col("n") - F.floor(F.col("n") / 3)).cast("int")), "tail").alias("edited"))
-    told = both.withColumn("edited_fp", minhash.fingerprint(F.col("edited")))
+    told = both.withColumn("edited_fp", minhash.fingerprint(F.col("edited"), by_bin=True))
     return told.select(
         "doc_id",
         F.col("n").cast("long").alias("n_chars"),
