@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, chat_format, chunk_dedup, langid, license_scan, minhash, sharding, simhash, url_rules, winnow
+from colloquy.llm import bpe, chat_format, chunk_dedup, divergence, importance, langid, license_scan, minhash, sharding, simhash, url_rules, winnow
 from colloquy.llm.ordering import with_next
 from colloquy.llm.registry import query, table
 
@@ -145,3 +145,64 @@ def op10_language_id(spark, sf):
     model = langid.fit(docs.where(~langid.held_out()))
     told = langid.predict(docs.select("doc_id", "text"), model)
     return told.select("doc_id", langid.held_out().alias("held_out"), F.col("language.lang_pred").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.ambiguous").alias("ambiguous"))
+
+
+def _checksum_sql(word: str) -> str:
+    """CRC-32 of a text column: eight shifts a byte, the divisor where a one falls out."""
+    step = "reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(acc, b))"
+    data = f"list_transform(string_split(regexp_replace(hex(encode({word})), '(..)', '\\1 ', 'g'), ' ')[:-2], lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(reduce({data}, lambda acc, b: {step}, 4294967295::BIGINT), 4294967295)"
+
+
+_RESAMPLE_SQL = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+b AS (SELECT translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM benchmark),
+dw AS (SELECT doc_id, r, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+bw AS (SELECT regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM b),
+df AS (SELECT r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM dw),
+bf AS (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM bw),
+f AS (SELECT f, {_checksum_sql("f")} % 10000 AS bucket FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+s AS (SELECT bucket, count(*) AS s FROM df JOIN f USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bf JOIN f USING (f) GROUP BY bucket),
+a AS (SELECT (SELECT count(*) FROM df) AS ss, (SELECT count(*) FROM bf) AS tt),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (ss + 10000)::DOUBLE / ((s + 1)::DOUBLE * (tt + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), a),
+m AS (SELECT r, count(*) AS n, sum(gain)::BIGINT AS gain FROM df JOIN f USING (f) JOIN g USING (bucket) GROUP BY r),
+x AS (SELECT doc_id, len(w) AS words, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 WHEN gain >= 0 OR gain % n = 0 THEN gain // n ELSE gain // n - 1 END AS weight,
+    ('0x' || left(sha256('7:' || doc_id), 8))::BIGINT AS h FROM dw LEFT JOIN m USING (r)),
+y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM x),
+z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM y WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN z.rank <= 25 * (SELECT count(*) FROM z) // 100 THEN z.rank END AS rank FROM y LEFT JOIN z USING (doc_id)"""
+
+
+@query("op12_importance_resampling", _RESAMPLE_SQL)
+def op12_importance_resampling(spark, sf):
+    return importance.resampled(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("text"))
+
+
+_AUDIT_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT lang, source, r, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+gn AS (SELECT lang, source, coalesce(sum(n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+gp AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (gn.n + 2 * v.v)::HUGEINT AS p
+    FROM gn JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+ln AS (SELECT lang, sum(n) AS n FROM c GROUP BY lang),
+lp AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(c.n) + 2)::HUGEINT // (any_value(ln.n) + 2 * any_value(v.v))::HUGEINT AS q
+    FROM c JOIN ln USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM gp a JOIN gp b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+no_pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, 0 AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    WHERE a.lang NOT IN (SELECT lang FROM v)),
+more AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM gp JOIN lp USING (lang, term) WHERE n > 0 AND p > q),
+every AS (SELECT * FROM pairs UNION ALL SELECT * FROM no_pairs UNION ALL SELECT * FROM more),
+ranked AS (SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM every)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
+
+@query("op13_source_divergence", _AUDIT_SQL)
+def op13_source_divergence(spark, sf):
+    return divergence.audit(table(spark, sf, "documents").select("lang", "source", "text"))
