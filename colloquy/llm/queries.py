@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, chat_format, chunk_dedup, divergence, importance, langid, license_scan, minhash, sharding, simhash, url_rules, winnow
+from colloquy.llm import bpe, chat_format, chunk_dedup, divergence, importance, langid, license_scan, minhash, sharding, simhash, url_rules, vector_forest, winnow
 from colloquy.llm.ordering import with_next
 from colloquy.llm.registry import query, table
 
@@ -147,6 +147,11 @@ def op10_language_id(spark, sf):
     return told.select("doc_id", langid.held_out().alias("held_out"), F.col("language.lang_pred").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.ambiguous").alias("ambiguous"))
 
 
+@query("op11_vector_near_copies")
+def op11_vector_near_copies(spark, sf):
+    return vector_forest.near_duplicate_vectors(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
 def _checksum_sql(word: str) -> str:
     """CRC-32 of a text column: eight shifts a byte, the divisor where a one falls out."""
     step = "reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(acc, b))"
