@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+
 from colloquy.llm import chunk_dedup
+from colloquy.llm.queries import op3_chunk_dedup
 from tests.llm import odd
 from tests.llm.test_text_operators import plain_chunks
 
 
 def plain_stretches(chunks):
     """(first, after the last) of the shortest runs of enough words from and up to each chunk."""
-    n = [len(c.split()) for c in chunks]
-    enough = lambda a, b: sum(n[a:b]) >= chunk_dedup.LEAST_WORDS
-    out = {(a, b) for a in range(len(n)) if (b := next((b for b in range(a + 1, len(n) + 1) if enough(a, b)), None))}
-    return out | {(a, b) for b in range(1, len(n) + 1) if (a := next((a for a in range(b - 1, -1, -1) if enough(a, b)), None)) is not None}
+    so_far = [0, *itertools.accumulate(len(c.split()) for c in chunks)]
+    least = chunk_dedup.LEAST_WORDS
+    from_each = {(a, b) for a in range(len(chunks)) if (b := bisect.bisect_left(so_far, so_far[a] + least)) <= len(chunks)}
+    return from_each | {(a, b) for b in range(1, len(chunks) + 1) if (a := bisect.bisect_right(so_far, so_far[b] - least) - 1) >= 0}
 
 
 def plain_without_stretches(rows):
@@ -29,7 +33,8 @@ def plain_without_stretches(rows):
 
 
 def test_stretches_equal_plain_python(spark, sf):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if len(r.text) < 8000]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert {r.doc_id: r.text for r in op3_chunk_dedup(spark, sf).collect()} == plain_without_stretches(rows)
     rows += [(10_000, "ha " * 300), (10_001, None), (10_002, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.text for r in chunk_dedup.without_repeats(df).collect()} == plain_without_stretches(rows)

@@ -139,37 +139,6 @@ def plain_chunks(text):
     return [data[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
-def plain_without_repeats(rows):
-    """rows: (id, text) of different ids."""
-    first = {}
-    for d, text in sorted(rows):
-        for c in plain_chunks(text) if text else []:
-            first.setdefault(c, d)
-    out = {}
-    for d, text in rows:
-        if not text:
-            out[d] = text
-            continue
-        seen, kept, run = set(), [], []
-        for c in [*plain_chunks(text), None]:
-            if c is not None and (first[c] != d or c in seen):
-                run.append(c)
-                continue
-            if sum(len(x.split()) for x in run) < chunk_dedup.LEAST_WORDS:
-                kept += run
-            run = []
-            kept.append(c or b"")
-            seen.add(c)
-        out[d] = b"".join(kept).decode()
-    return out
-
-
-def test_chunk_dedup_equals_plain_python(spark, sf):
-    rows = [(r.doc_id, r.text) for r in documents(spark, sf).collect()]
-    got = {r.doc_id: r.text for r in queries()["op3_chunk_dedup"](spark, sf).collect()}
-    assert got == plain_without_repeats(rows)
-
-
 def test_chunks_resist_insertions():
     text = " ".join(odd.words(2000, 3))
     shifted = "some new words at the front " + text
