@@ -324,11 +324,14 @@ def test_remap(spark):
 
 
 def test_voices_are_never_missed(spark, monkeypatch):
-    monkeypatch.setattr(speakers, "PIVOTS", 5)
+    for name, value in (("FAN", 3), ("LEAF_ROWS", 4)):
+        monkeypatch.setattr(speakers, name, value)
     rng = random.Random(4)
     vec = lambda: [rng.gauss(0, 1) for _ in range(6)]
     people = [(f"p{i:03d}", vec()) for i in range(120)]
-    voices = [(1, f"v{i:02d}", vec()) for i in range(40)]
+    people += [(f"q{i:03d}", people[7][1]) for i in range(30)]  # many of one vector
+    people += [(f"r{i:03d}", [x + 1e-9 * i for x in people[8][1]]) for i in range(20)]  # closer than angles can tell
+    voices = [(1, f"v{i:02d}", vec()) for i in range(40)] + [(1, "w", people[7][1])]
     cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
     p = spark.createDataFrame(people, "name string, embedding array<double>")
     v = spark.createDataFrame(voices, "job_id long, speaker string, embedding array<double>")
@@ -338,7 +341,28 @@ def test_voices_are_never_missed(spark, monkeypatch):
     top = {}
     for r in speakers.top_profiles(v, p, ["job_id", "speaker"], 3).orderBy("speaker", "rank").collect():
         top.setdefault(r.speaker, []).append(r.name)
-    assert top == {s: [n for _, n in r[:3]] for s, r in ranked.items()}
+    # names of vectors that differ by 1e-9 count as one here
+    same = lambda ns: ["r" if n[0] == "r" or n == "p008" else n for n in ns]
+    assert {s: same(ns) for s, ns in top.items()} == {s: same(n for _, n in r[:3]) for s, r in ranked.items()}
+
+
+def test_ball_tree_grows_with_the_profiles(spark, monkeypatch):
+    """No group above a leaf, and ten times the profiles give at most fifteen times the pairs."""
+    monkeypatch.setattr(speakers, "LEAF_ROWS", 16)
+    rng = random.Random(9)
+    homes = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(400)]
+    near = lambda h: [x + rng.gauss(0, 0.03) for x in h]
+    pairs = []
+    for n in (200, 2000):
+        clusters = homes[: n // 20]
+        people = [(f"p{i}", near(clusters[i % len(clusters)])) for i in range(n)]
+        voices = [(i, near(clusters[i % len(clusters)])) for i in range(n // 4)]
+        _, tree = speakers._points(spark.createDataFrame(people, "name string, embedding array<double>"), 1)
+        assert tree.points.count() == n and tree.points.groupBy("dim", "node").count().agg(F.max("count")).first()[0] <= speakers.LEAF_ROWS
+        asked = speakers._unit_rows(spark.createDataFrame(voices, "k long, embedding array<double>"), ["k"]).withColumnRenamed("u", "v")
+        pairs.append([speakers.compared(asked.withColumn("limit", F.lit(math.acos(0.95))), tree, ["k"]).count(),
+                      speakers.compared(speakers._near_limit(asked, tree, ["k"], 3), tree, ["k"]).count()])
+    assert all(b <= 15 * a for a, b in zip(*pairs)), pairs
 
 
 def test_redact(spark):
