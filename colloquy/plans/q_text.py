@@ -66,9 +66,13 @@ def txt_glossary_window(spark, sf):
 
 @query("txt_proper_nouns")
 def txt_proper_nouns(spark, sf):
-    """Documents of a source and language as one job, each document a segment."""
+    """Documents of a source and language as one job, each document a segment; known are the names of parts, partners and nations."""
     docs = V.table(spark, sf, "documents").select((F.xxhash64("source", "lang")).alias("job_id"), F.col("doc_id").alias("seq"), "text")
-    return N.proper_nouns(docs, V.glossary(spark, sf))
+    names = [V.table(spark, sf, t).select(F.col(c).alias("term")) for t, c in (("part", "p_name"), ("supplier", "s_name"), ("customer", "c_name"), ("nation", "n_name"))]
+    known = names[0].unionByName(names[1]).unionByName(names[2]).unionByName(names[3])
+    whole = known.where(F.trim("term") != "")
+    words = whole.select(F.explode(F.split("term", r"[\s_#]+")).alias("term"))
+    return N.proper_nouns(docs, whole.unionByName(words).where(F.length("term") >= N.MIN_CHARS).distinct())
 
 
 @query("txt_entities")

@@ -299,6 +299,53 @@ def test_proper_nouns(spark):
     assert [r.term for r in mining.proper_nouns(df, known).orderBy("rank").collect()] == ["Odoo"]
 
 
+def test_words_before_names(spark, monkeypatch):
+    monkeypatch.setattr(mining, "GATHERED", 3)
+    def plain(words, found):
+        out, used = [], 0
+        for m in found:
+            at = next((i for i in range(used, len(words)) if words[i] == m), None)
+            out.append(words[at - 1].lower() if at else "<BOS>")
+            used = len(words) if at is None else at + 1
+        return out
+
+    rng = random.Random(2)
+    rows = [(["a", "B", "c", "B", "D"], ["B", "B", "D"]), (["a", "B"], ["X", "B"]), ([], ["Q"]), (["B", "x"], [])]
+    for _ in range(60):
+        words = [rng.choice("abAB") for _ in range(rng.randint(0, 30))]
+        rows.append((words, [w for w in words if w in "AB" and rng.random() < 0.9] + rng.choice([[], ["C"], ["A"]])))
+    got = spark.createDataFrame(rows, "w array<string>, m array<string>").select("w", "m", mining.preceding_words(F.col("w"), F.col("m")).alias("p")).collect()
+    assert [r.p for r in got] == [plain(r.w, r.m) for r in got]
+
+
+def plain_families(words):
+    """The ordered walk over (sound, strength) of one job."""
+    def one_edit(a, b):
+        return a == b or any(a[:i] + x + a[i + d:] == b for d in (0, 1) for i in range(len(a) + 1) for x in {"", *b})
+
+    out = []
+    for sound, _ in sorted(words, key=lambda w: w[1]):
+        if not any(one_edit(sound, other) for other in out):
+            out.append(sound)
+    return set(out)
+
+
+def test_families_equal_the_ordered_walk(spark):
+    rng = random.Random(6)
+    rows = []
+    for job in range(12):
+        sounds = sorted({"".join(rng.choice("ABK") for _ in range(rng.randint(1, 6))) for _ in range(rng.choice([1, 8, 60, 200]))})
+        rows += [(job, s, n) for s, n in zip(sounds, rng.sample(range(1000), len(sounds)))]
+    # a long chain: each sound next to the one before it
+    rows += [(99, "AK" * 20 + "B" * i, i) for i in range(25)]
+    df = spark.createDataFrame(rows, "job_id long, sound string, strength long")
+    got = {}
+    for r in mining._claimed(df).collect():
+        got.setdefault(r.job_id, []).append(r.sound)
+    assert all(len(v) == len(set(v)) for v in got.values())
+    assert {j: set(v) for j, v in got.items()} == {j: plain_families([r[1:] for r in rows if r[0] == j]) for j in {r[0] for r in rows}}
+
+
 def test_entities_confirmed_in_a_corpus(spark):
     cand = spark.createDataFrame([(1, 1, "Marie Curie"), (1, 2, "Zindoc"), (1, 3, "Nobody"), (1, 4, "Odoo")], "id long, rank long, term string")
     known = spark.createDataFrame([("odoo",)], "term string")
