@@ -15,6 +15,7 @@ and no row is written per term and pair.
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 
 import numpy as np
@@ -47,39 +48,51 @@ def terms(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLDED).split() if text else []
 
 
+_PARTIAL = "lang string, digest long, term string, docs long, counts array<struct<source: string, n: long>>"
+
+
 def _partial_counts(digest_bits: int):
     mask = (1 << digest_bits) - 1
 
     def count(batches):
-        held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+        # language -> term -> source -> occurrences; under None the documents
+        held: dict[str, dict[bytes, dict]] = {}
         size = 0
 
         def rows():
-            for (lang, source), found in held.items():
+            for lang, found in held.items():
                 words = list(found)
-                n, docs = (pa.array([x[i] for x in found.values()], pa.int64()) for i in (0, 1))
-                digest = np.array([xxhash.xxh64_intdigest(w) & mask for w in words], np.uint64).astype(np.int64)
-                for at in range(0, len(words), 50_000):
-                    part = words[at : at + 50_000]
+                for at in range(0, len(words), 20_000):
+                    part = words[at : at + 20_000]
+                    docs = [found[w].pop(None) for w in part]
+                    each = [found[w] for w in part]
+                    ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
+                    flat = [pa.array(itertools.chain.from_iterable(each), pa.string()), pa.array(itertools.chain.from_iterable(x.values() for x in each), pa.int64())]
                     yield pa.record_batch({
-                        "lang": pa.array([lang] * len(part), pa.string()), "source": pa.array([source] * len(part), pa.string()), "digest": pa.array(digest[at : at + 50_000]),
-                        "term": pa.array(part, pa.binary()).cast(pa.string()), "n": n[at : at + 50_000], "docs": docs[at : at + 50_000],
+                        "lang": pa.array([lang] * len(part), pa.string()),
+                        "digest": pa.array(np.array([xxhash.xxh64_intdigest(w) & mask for w in part], np.uint64).astype(np.int64)),
+                        "term": pa.array(part, pa.binary()).cast(pa.string()),
+                        "docs": pa.array(docs, pa.int64()),
+                        "counts": pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(flat, ["source", "n"])),
                     })
 
         for batch in batches:
             langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = batch.column(2).cast(pa.binary())
             for i in range(len(batch)):
-                own = held.setdefault((langs[i], sources[i]), {})
-                before = len(own)
+                own, source = held.setdefault(langs[i], {}), sources[i]
                 for word, n in Counter(terms(texts[i].as_py())).items():
                     seen = own.get(word)
                     if seen is None:
-                        own[word] = [n, 1]
+                        own[word] = {None: 1, source: n}
+                        size += 1
                     else:
-                        seen[0] += n
-                        seen[1] += 1
-                size += len(own) - before
+                        seen[None] += 1
+                        if source in seen:
+                            seen[source] += n
+                        else:
+                            seen[source] = n
+                            size += 1
                 if size >= HELD:
                     yield from rows()
                     held.clear()
@@ -107,21 +120,20 @@ def _apart(p, q):
 
 
 def _kept_counts(partial: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, digest, turn, n) of kept terms, and (lang, digest, turn, term); turn parts the words of one digest."""
+    """From rows of ``_PARTIAL``: (lang, source, digest, turn, n) of kept terms, and (lang, digest, turn, term); turn parts the words of one digest."""
     frequent = written(partial.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "digest"), "frequent-digests")
     of_kept = _met(partial, frequent, ["lang", "digest"], "left_semi", BROADCAST_ROWS)
     spelled = written(of_kept.groupBy("lang", "digest").agg(F.min("term").alias("term"), F.max("term").alias("last")), "spelled")
     shared = spelled.where("term <> last").select("lang", "digest")
-    counts = of_kept.groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"))
+    counts = of_kept.select("lang", "digest", F.inline("counts")).groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"))
     if shared.isEmpty():
         counts = counts.withColumn("turn", F.lit(0))
         return written(counts, "kept-counts"), spelled.select("lang", "digest", F.lit(0).alias("turn"), "term")
     alone = _met(counts, shared, ["lang", "digest"], "left_anti", BROADCAST_ROWS).withColumn("turn", F.lit(0))
-    words = _met(partial, shared, ["lang", "digest"], "left_semi", BROADCAST_ROWS).groupBy("lang", "source", "digest", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    words = written(words, "split-digests")
+    words = written(_met(partial, shared, ["lang", "digest"], "left_semi", BROADCAST_ROWS), "split-digests")
     kept = words.groupBy("lang", "digest", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
     kept = kept.withColumn("turn", F.row_number().over(Window.partitionBy("lang", "digest").orderBy("term"))).drop("docs")
-    split = words.join(kept, ["lang", "digest", "term"]).select("lang", "source", "digest", "n", "turn")
+    split = words.join(kept, ["lang", "digest", "term"]).select("lang", "digest", "turn", F.inline("counts")).groupBy("lang", "source", "digest", "turn").agg(F.sum("n").alias("n"))
     names = spelled.where("term = last").select("lang", "digest", F.lit(0).alias("turn"), "term").unionByName(kept)
     return written(alone.unionByName(split), "kept-counts"), written(names, "names")
 
@@ -186,7 +198,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     """
     blank = lambda c, to: F.coalesce(F.col(c), F.lit("")).alias(to)
     bare = docs.select(blank(lang, "lang"), blank(source, "source"), blank(text, "text"))
-    partial = written(bare.mapInArrow(_partial_counts(digest_bits), "lang string, source string, digest long, term string, n long, docs long"), "partial-counts")
+    partial = written(bare.mapInArrow(_partial_counts(digest_bits), _PARTIAL), "partial-counts")
     counts, names = _kept_counts(partial, least_docs)
 
     kept = names.groupBy("lang").agg(F.count("*").alias("v"))
