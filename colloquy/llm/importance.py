@@ -29,7 +29,7 @@ LEAST_WORDS = 20
 DRAWN_PERCENT = 25
 SEED = 7
 #: Bits of a digit, and places of a block.
-DIGIT_BITS, BLOCK_ROWS = 12, 1 << 16
+DIGIT_BITS, BLOCK_ROWS = 11, 1 << 13
 
 #: Digits, small letters and bytes beyond ASCII stay, capitals become small, all others part the words.
 _FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
