@@ -319,32 +319,80 @@ def join_turns(turns: DataFrame, gap_ms: int = MICRO_GAP_MS) -> DataFrame:
 PAUSE_MS, PARAGRAPH_MS = 1_200, 25_000
 
 
+#: Rows up to which an unbroken stretch of one speaker is folded as one array; longer ones go by pointers.
+STRETCH_ROWS = 1024
+
+
 def paragraphs(segments: DataFrame) -> DataFrame:
     """Same-speaker paragraphs: cut at pauses and after 25 s (fold_paragraphs).
 
-    A change of speaker or a pause restarts the rule, so each stretch of
-    unbroken speech is folded on its own, JVM-side.
+    A change of speaker or a pause restarts the rule, so stretches of unbroken
+    speech stand alone. A short one is folded as an array of its rows; of a long
+    one each row that can open a paragraph points to the next opener, and the
+    pointers are followed by doubling, so that no row holds a long stretch.
     """
     label = F.coalesce(F.nullif("speaker", F.lit("")), F.lit("?"))
-    rows = segments.select("job_id", "seq", "start_ms", "end_ms", label.alias("speaker"), "text")
+    rows = segments.select("job_id", "seq", "start_ms", "end_ms", label.alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
     near = scan(rows, [Step("_p", "lag", F.struct("speaker", "end_ms"))])
     starts = F.col("_p").isNull() | (F.col("_p.speaker") != F.col("speaker")) | (F.col("start_ms") - F.col("_p.end_ms") >= PAUSE_MS)
-    runs = islands(near, starts)
+    runs = stage.cut(islands(near.withColumn("_starts", starts).drop("_p"), F.col("_starts")).drop("_starts"), "stretches")
+    long = stage.cut(runs.groupBy("job_id", "island").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > STRETCH_ROWS).drop("n"), "long-stretches")
+    tidy = lambda df: df.withColumn("text", lstrip(rstrip(F.col("text"))))
+    if long.isEmpty():
+        return tidy(_folded_stretches(runs))
+    short = _folded_stretches(runs.join(long, ["job_id", "island"], "left_anti"))
+    return tidy(short.unionByName(_long_stretches(runs.join(long, ["job_id", "island"], "left_semi"))))
+
+
+def _folded_stretches(runs: DataFrame) -> DataFrame:
+    """Paragraphs of stretches that are one array each: the places of the openers first, then the slices between them."""
     stretch = runs.groupBy("job_id", "island").agg(
-        F.min_by("speaker", "seq").alias("speaker"),
-        F.array_sort(F.collect_list(F.struct("seq", "start_ms", "end_ms", "text"))).alias("rows"))
-    kind = "array<struct<seq:bigint,start_ms:bigint,end_ms:bigint,n:bigint,text:string>>"
-    word = lambda r: F.coalesce(r["text"], F.lit(""))
-    fresh = lambda r: F.array(F.struct(
-        r["seq"].alias("seq"), r["start_ms"].alias("start_ms"), r["end_ms"].alias("end_ms"), F.lit(1).cast("long").alias("n"), word(r).alias("text")))
-    last = lambda acc: F.element_at(acc, -1)
-    grow = lambda acc, r: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
-        last(acc)["seq"].alias("seq"), last(acc)["start_ms"].alias("start_ms"), r["end_ms"].alias("end_ms"),
-        (last(acc)["n"] + 1).alias("n"), F.concat(last(acc)["text"], F.lit(" "), word(r)).alias("text"))))
-    step = lambda acc, r: F.when(F.size(acc) == 0, fresh(r)).when(
-        r["start_ms"] - last(acc)["start_ms"] >= PARAGRAPH_MS, F.concat(acc, fresh(r))).otherwise(grow(acc, r))
-    folded = F.aggregate("rows", F.array().cast(kind), step)
-    return stretch.select("job_id", "speaker", F.inline(folded)).withColumn("text", lstrip(rstrip(F.col("text"))))
+        F.min_by("speaker", "seq").alias("speaker"), F.array_sort(F.collect_list(F.struct("seq", "start_ms", "end_ms", "text"))).alias("rows"))
+    start = F.struct(F.lit(None).cast("long").alias("opened"), F.array().cast("array<int>").alias("at"))
+    opens = lambda acc, r: acc["opened"].isNull() | (r["start_ms"] - acc["opened"] >= PARAGRAPH_MS)
+    step = lambda acc, r: F.when(opens(acc, r), F.struct(r["start_ms"].alias("opened"), F.concat(acc["at"], F.array(r["i"])).alias("at"))).otherwise(acc)
+    placed = F.transform("rows", lambda r, i: F.struct(i.cast("int").alias("i"), r["start_ms"].alias("start_ms")))
+    told = stretch.withColumn("at", F.aggregate(placed, start, step, lambda acc: acc["at"]))
+    ends = lambda k: F.coalesce(F.get("at", k + 1), F.size("rows"))
+    parts = F.transform("at", lambda i, k: F.slice("rows", i + 1, ends(k) - i))
+    one = lambda p: F.struct(
+        p[0]["seq"].alias("seq"), p[0]["start_ms"].alias("start_ms"), F.element_at(p, -1)["end_ms"].alias("end_ms"), F.size(p).cast("long").alias("n"),
+        F.array_join(F.transform(p, lambda r: r["text"]), " ").alias("text"))
+    return told.select("job_id", "speaker", F.inline(F.transform(parts, one)))
+
+
+def _long_stretches(runs: DataFrame) -> DataFrame:
+    """As ``_folded_stretches``, for stretches of any length.
+
+    Only a row that starts later than all rows before it can open a paragraph,
+    and from one opener to the next 25 s pass at least. So the next opener lies
+    in the next 25-second bucket at a time that is given, or is the first row of
+    a later bucket.
+    """
+    keys = ["job_id", "island"]
+    seen = scan(runs.select(*keys, "seq", "start_ms"), [Step("_m", "max_before", F.col("start_ms"))], keys=tuple(keys), block=F.floor(F.col("seq") / STRETCH_ROWS))
+    records = seen.where(F.col("_m").isNull() | (F.col("start_ms") > F.col("_m"))).select(*keys, "seq", F.col("start_ms").alias("at"))
+    records = stage.cut(records.withColumn("bucket", F.floor(F.col("at") / PARAGRAPH_MS)), "records")
+    # what each record asks for meets the records of the bucket after its own
+    asked = records.select(*keys, (F.col("bucket") + 1).alias("bucket"), (F.col("at") + PARAGRAPH_MS).alias("t"), F.col("at").alias("node"), F.lit(None).cast("long").alias("here"))
+    both = asked.unionByName(records.select(*keys, "bucket", F.col("at").alias("t"), F.lit(None).cast("long").alias("node"), F.col("at").alias("here")))
+    onward = Window.partitionBy(*keys, "bucket").orderBy("t", F.col("here").isNotNull()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    met = both.withColumn("next", F.first("here", True).over(onward)).where("node is not null")
+    heads = both.groupBy(*keys, "bucket").agg(F.min("here").alias("first"))
+    later = scan(heads, [Step("later", "next", F.col("first"))], keys=tuple(keys), order="bucket", block=F.floor(F.col("bucket") / STRETCH_ROWS))
+    to = met.join(later.select(*keys, "bucket", "later"), [*keys, "bucket"]).select(*keys, "node", F.coalesce("next", "later").alias("next"))
+    to = stage.cut(to.where("next is not null"), "pointers")
+    open_ = stage.cut(records.groupBy(*keys).agg(F.min("at").alias("node")), "openers")
+    while not to.isEmpty():
+        # twice as far in every round: openers within 2 ** k steps of the head, pointers of 2 ** k steps
+        open_ = stage.cut(open_.unionByName(open_.join(to, [*keys, "node"]).select(*keys, F.col("next").alias("node"))), "openers")
+        beyond = to.select(*keys, F.col("node").alias("next"), F.col("next").alias("beyond"))
+        to = stage.cut(to.join(beyond, [*keys, "next"]).select(*keys, "node", F.col("beyond").alias("next")), "pointers")
+    openers = records.join(open_.withColumnRenamed("node", "at"), [*keys, "at"]).select("job_id", "seq", F.lit(True).alias("_opens"))
+    marked = runs.join(openers, ["job_id", "seq"], "left")
+    told = islands(marked, F.col("_opens").isNotNull(), name="_paragraph")
+    return told.groupBy("job_id", F.col("_paragraph").alias("seq")).agg(
+        F.min_by("speaker", "seq").alias("speaker"), F.min_by("start_ms", "seq").alias("start_ms"), F.max_by("end_ms", "seq").alias("end_ms"), F.count(F.lit(1)).alias("n"), ordered_text("text", "seq").alias("text"))
 
 
 SAMPLE_GAP_MS, SAMPLE_TEXT_CHARS, SAMPLE_MIN_MS, SAMPLE_CLIP_MS = 3_000, 120.0, 1_000, 8_000

@@ -136,23 +136,52 @@ def test_orphans(spark, monkeypatch):
     assert got == {j: brute_orphans(ts) for j, ts in jobs.items()}
 
 
-def test_paragraphs(spark):
-    rng = random.Random(5)
-    rows, want = [], []
-    at, prev, start, n = 0, None, None, 0
-    for i in range(200):
-        at += rng.choice([0, 100, 1199, 1200, 2000])
-        who, d = rng.choice("AAAB"), rng.choice([3000, 9000])
-        if prev is None or prev[0] != who or at - prev[1] >= 1200 or at - start >= 25_000:
-            want.append([who, at, at + d])
-            start = at
+def brute_paragraphs(rows):
+    """rows: (start, end, speaker, text) of one job."""
+    out, prev = [], None
+    for s, e, who, text in rows:
+        if prev is None or prev[0] != who or s - prev[1] >= 1200 or s - out[-1][1] >= 25_000:
+            out.append([who, s, e, 1, [text]])
         else:
-            want[-1][2] = at + d
-        rows.append((1, i, at, at + d, who, f"t{i}"))
-        prev, at = (who, at + d), at + d
-    df = turns_df(spark, rows, "job_id long, seq long, start_ms long, end_ms long, speaker string, text string")
-    got = [[r.speaker, r.start_ms, r.end_ms] for r in sequences.paragraphs(df).orderBy("start_ms").collect()]
-    assert got == want
+            out[-1][2] = e
+            out[-1][3] += 1
+            out[-1][4].append(text)
+        prev = (who, e)
+    return [(who, s, e, n, " ".join(t).strip()) for who, s, e, n, t in out]
+
+
+def paragraph_rows(spark, jobs):
+    df = turns_df(spark, [(j, i, *r) for j, rows in jobs.items() for i, r in enumerate(rows)], "job_id long, seq long, start_ms long, end_ms long, speaker string, text string")
+    got = {}
+    for r in sequences.paragraphs(df).orderBy("job_id", "seq").collect():
+        got.setdefault(r.job_id, []).append((r.speaker, r.start_ms, r.end_ms, r.n, r.text))
+    return got
+
+
+@pytest.mark.parametrize("most", [1024, 9])
+def test_paragraphs(spark, monkeypatch, most):
+    """Short stretches as arrays, long ones by pointers; starts that go back, and leaps over whole buckets."""
+    monkeypatch.setattr(sequences, "STRETCH_ROWS", most)
+    rng = random.Random(5)
+    jobs = {}
+    for j in range(12):
+        at, rows = rng.choice([0, 7_000]), []
+        for i in range(rng.choice([1, 30, 250])):
+            at += rng.choice([0, 100, 1199, 1199, 1200, 2000, -6000] if j % 2 else [0, 100, 300, 1100])
+            d = rng.choice([0, 3000, 9000, 60_000] if j % 3 == 0 else [1, 3000, 9000])
+            rows.append((max(at, 0), max(at, 0) + d, rng.choice("AAAAAAAB" if j % 4 else "A"), f"t{i}"))
+            at = max(at, 0) + d
+        jobs[j] = rows
+    assert paragraph_rows(spark, jobs) == {j: brute_paragraphs(r) for j, r in jobs.items()}
+
+
+def test_paragraphs_of_one_long_monologue(spark):
+    rng = random.Random(8)
+    at, rows = 0, []
+    for i in range(100_000):
+        rows.append((at, at + rng.randint(400, 4000), "A", f"w{i}"))
+        at = rows[-1][1] + rng.randint(0, 1100)
+    assert paragraph_rows(spark, {1: rows}) == {1: brute_paragraphs(rows)}
 
 
 def test_text_chunks(spark):
