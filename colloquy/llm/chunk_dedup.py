@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colloquy.llm.names import free_name
+
 #: Bytes that the rolling hash looks back on.
 WINDOW = 16
 #: A cut comes at about one word end in CUT_ONE_IN.
@@ -135,24 +137,25 @@ def stretch_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                     yield pa.record_batch([pa.array(np.concatenate(held)), ids.take(pa.array(np.concatenate(held_ids)))], names=["digest", "doc_id"])
                     held_ids, held, n = [], [], 0
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text <> ''").mapInArrow(work, "digest long, doc_id long")
+    bare = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text <> ''")
+    return bare.mapInArrow(work, f"digest long, doc_id {bare.schema['doc_id'].dataType.simpleString()}")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", to: str | None = None, spans: str | None = None) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text`` (or in a new column ``to``), every row kept.
 
-    The document of the smallest id keeps a passage; within one text the first
+    The document of the smallest id (an integer or a text) keeps a passage; within one text the first
     place does. ``spans`` names a column for the (start, end) byte spans that
     went. Null and empty texts stay as they are. Rows that share an id count as
     one document, each still losing what it repeats itself; rows with a null id
     come after all others. Nothing goes that does not stand with LEAST_WORDS words
     in a row in one other place.
     """
-    last = (1 << 63) - 1
-    keyed = docs.withColumn("_key", F.coalesce(F.col(doc_id).cast("long"), F.lit(last)))
-    told = stretch_digests(keyed, "_key", text)
-    repeated = told.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("latest")).where("keeper <> latest").select("digest", "keeper")
-    losing = told.join(repeated, "digest").where("doc_id <> keeper").groupBy(F.col("doc_id").alias("_key")).agg(F.collect_set("digest").alias("_elsewhere"))
+    key, lost_in = free_name(docs.columns, "_key"), free_name(docs.columns, "_elsewhere")
+    told = stretch_digests(docs, doc_id, text)
+    held = told.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("latest"), F.max(F.col("doc_id").isNull()).alias("nameless"))
+    repeated = held.where("keeper <> latest or (nameless and keeper is not null)").select("digest", "keeper")
+    losing = told.join(repeated, "digest").where("not doc_id <=> keeper").groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("digest").alias(lost_in))
     target = to or text
     out = [f for f in docs.schema.fields if f.name not in (target, spans)]
     kinds = [*out, T.StructField(target, T.StringType())]
@@ -166,7 +169,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 batch = big.slice(at, 1024)
                 column = dict(zip(batch.schema.names, batch.columns))
                 texts = column[text].cast(pa.binary()).to_pylist()
-                lost = column["_elsewhere"].to_pylist()
+                lost = column[lost_in].to_pylist()
                 kept, went = [], []
                 for body, elsewhere, (ends, digests, n_words) in zip(texts, lost, chunked(texts)):
                     gone = repeated_spans(ends, digests, n_words, np.array(elsewhere or [], np.int64)) if body else []
@@ -180,6 +183,6 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     arrays.append(pa.array(went, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
                 yield pa.RecordBatch.from_arrays(arrays, names=[*names, target, *([spans] if spans else [])])
 
-    cleaned = keyed.join(losing, "_key", "left").drop("_key").mapInArrow(work, T.StructType(kinds))
+    cleaned = docs.join(losing, F.col(doc_id).eqNullSafe(F.col(key)), "left").drop(key).mapInArrow(work, T.StructType(kinds))
     order = [*docs.columns, *(x for x in (to, spans) if x and x not in docs.columns)]
     return cleaned.select(*order)

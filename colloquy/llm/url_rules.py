@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.llm.names import free_name
+
 
 @dataclass(frozen=True)
 class Pattern:
@@ -75,10 +77,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], patterns: list[Pattern
     repeat are each judged. Existing columns of these names are replaced.
     """
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "patterns")]
-    parted = pages.select(*kept, F.col(url).alias("_url"))
-    hit = matches(parted.where(F.col("_url").isNotNull()).select(F.col("_url").alias("url")).distinct(), patterns)
-    told = hit.groupBy("url").agg(F.array_sort(F.collect_set("pattern")).alias("patterns"), F.max((F.col("verdict") == "block").cast("int")).alias("_block")).withColumnRenamed("url", "_matched")
-    joined = parted.join(told, F.col("_url") == F.col("_matched"), "left").withColumn("host", host(F.col("_url"))).withColumn("path", path(F.col("_url")))
-    fit = joined.withColumn("_rule", best_rule(F.col("host"), F.col("path"), rules))
-    own = F.when(F.col("_block") == 1, "block").otherwise("allow")
-    return fit.select(*kept, "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", own).alias("verdict"), F.coalesce("patterns", F.array().cast("array<string>")).alias("patterns"))
+    asked, matched, block, best = (free_name(pages.columns, x) for x in ("_url", "_matched", "_block", "_rule"))
+    parted = pages.select(*kept, F.col(url).alias(asked))
+    hit = matches(parted.where(F.col(asked).isNotNull()).select(F.col(asked).alias("url")).distinct(), patterns)
+    told = hit.groupBy("url").agg(F.array_sort(F.collect_set("pattern")).alias("patterns"), F.max((F.col("verdict") == "block").cast("int")).alias(block)).withColumnRenamed("url", matched)
+    joined = parted.join(told, F.col(asked) == F.col(matched), "left").withColumn("host", host(F.col(asked))).withColumn("path", path(F.col(asked)))
+    fit = joined.withColumn(best, best_rule(F.col("host"), F.col("path"), rules))
+    own = F.when(F.col(block) == 1, "block").otherwise("allow")
+    return fit.select(*kept, "host", "path", F.col(f"{best}.rule").alias("rule"), F.coalesce(f"{best}.verdict", own).alias("verdict"), F.coalesce("patterns", F.array().cast("array<string>")).alias("patterns"))

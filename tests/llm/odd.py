@@ -35,6 +35,8 @@ def docs(spark, rows=ROWS):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(rows, SCHEMA)
+    for name in ("_key", "_elsewhere", "_keep", "_gone", "_language", "_url", "_matched", "_block", "_rule"):
+        df = df.withColumn(name, F.lit("x"))
     return df.withColumn("fp", F.lit("x")).withColumn("digest", F.lit(7)).withColumn("w", F.lit(None).cast("int")).withColumn("n_chars", F.length("text").cast("long"))
 
 

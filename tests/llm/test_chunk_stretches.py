@@ -51,3 +51,13 @@ def test_prose_of_chunks_of_many_documents_stays(spark):
     assert got[50] == mosaic
     assert all(got[d] == t for d, t in rows[:20])
     assert len(set(passage.split()) & set(got[51].split())) < 20
+
+
+def test_text_ids_and_rows_without_an_id(spark):
+    passage = " ".join(odd.words(60, 21))
+    texts = [("d1", passage), ("d0", "before it " + passage), (None, passage + " after it"), (None, passage), ("d2", " ".join(odd.words(40, 22)))]
+    got = chunk_dedup.without_repeats(spark.createDataFrame(texts, "doc_id string, text string")).collect()
+    left = sorted((r.doc_id or "", len(set(passage.split()) & set(r.text.split()))) for r in got)
+    assert [n > 50 for _, n in left] == [False, False, True, False, False] and len(got) == 5
+    alone = [(None, passage), (None, passage)]
+    assert [r.text for r in chunk_dedup.without_repeats(spark.createDataFrame(alone, "doc_id string, text string")).collect()] == [passage] * 2

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from colloquy.llm import url_rules
 from colloquy.llm.queries import BASE_RULES, PATTERNS
@@ -31,3 +32,10 @@ def test_a_longer_last_word_is_blocked_beside_any_rows(spark, beside):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r.page_id: (r.verdict, r.patterns) for r in url_rules.judge(pages, BASE_RULES, PATTERNS).collect()}
     assert [got[i] for i in range(5)] == [("block", ["blog-feed"])] * 5
+
+
+def test_columns_of_the_operators_own_names(spark):
+    pages = spark.createDataFrame([(1, "http://spam-farm.net/", "a", "b"), (2, None, "c", "d")], "page_id long, url string, _matched string, _url string")
+    got = url_rules.judge(pages.withColumns({"_block": F.lit(1), "_RULE": F.lit("x")}), BASE_RULES, PATTERNS)
+    assert {"_matched", "_url", "_block", "_RULE"} <= set(got.columns)
+    assert sorted((r.page_id, r.verdict, r["_matched"], r["_url"]) for r in got.collect()) == [(1, "block", "a", "b"), (2, "allow", "c", "d")]
