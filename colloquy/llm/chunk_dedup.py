@@ -153,8 +153,12 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     key, lost_in = free_name(docs.columns, "_key"), free_name(docs.columns, "_elsewhere")
     told = stretch_digests(docs, doc_id, text)
-    held = told.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("latest"), F.max(F.col("doc_id").isNull()).alias("nameless"))
-    repeated = held.where("keeper <> latest or (nameless and keeper is not null)").select("digest", "keeper")
+    span = [F.min("doc_id").alias("keeper"), F.max("doc_id").alias("latest")]
+    if docs.where(F.col(doc_id).isNull()).isEmpty():
+        held = told.groupBy("digest").agg(*span).where("keeper <> latest")
+    else:  # min and max pass over rows without an id
+        held = told.groupBy("digest").agg(*span, F.max(F.col("doc_id").isNull()).alias("nameless")).where("keeper <> latest or (nameless and keeper is not null)")
+    repeated = held.select("digest", "keeper")
     losing = told.join(repeated, "digest").where("not doc_id <=> keeper").groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("digest").alias(lost_in))
     target = to or text
     out = [f for f in docs.schema.fields if f.name not in (target, spans)]
