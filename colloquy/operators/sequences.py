@@ -229,12 +229,19 @@ def absorb_orphans(segments: DataFrame) -> DataFrame:
 MICRO_MS, MICRO_GAP_MS = 400, 1_000
 
 
+#: Rows that are folded as one array.
+FOLD_ROWS = 256
+
 _ITEM = "struct<seq:bigint,speaker:string,start_ms:bigint,end_ms:bigint,kind:string>"
 _NO_GAP = 1 << 62
 
 
+def _item(x: Column, start: Column, end: Column, kind: Column | None = None) -> Column:
+    return F.struct(x["seq"].alias("seq"), x["speaker"].alias("speaker"), start.alias("start_ms"), end.alias("end_ms"), (x["kind"] if kind is None else kind).alias("kind")).cast(_ITEM)
+
+
 def _settled(items: Column, min_ms: int, decide) -> Column:
-    """One pass over the items of a run: short turns go to the item before or after.
+    """One pass over the items of a block: short turns go to the item before or after.
 
     ``decide(turn, before, after)`` gives 'before', 'after' or 'stay'. What goes
     to the item after is carried as the start it will take.
@@ -242,14 +249,13 @@ def _settled(items: Column, min_ms: int, decide) -> Column:
     state = f"struct<kept:array<{_ITEM}>,carried:bigint>"
     start = F.struct(F.array().cast(f"array<{_ITEM}>").alias("kept"), F.lit(None).cast("long").alias("carried")).cast(state)
     pairs = F.transform(items, lambda x, i: F.struct(x.alias("x"), F.get(items, i + 1).alias("after")))
-    item = lambda x, s, e: F.struct(x["seq"].alias("seq"), x["speaker"].alias("speaker"), s.alias("start_ms"), e.alias("end_ms"), x["kind"].alias("kind")).cast(_ITEM)
 
     def step(acc: Column, p: Column) -> Column:
-        x = item(p["x"], F.least(p["x"]["start_ms"], acc["carried"]), p["x"]["end_ms"])
+        x = _item(p["x"], F.least(p["x"]["start_ms"], acc["carried"]), p["x"]["end_ms"])
         before = F.get(acc["kept"], F.size(acc["kept"]) - 1)
         short = (x["kind"] == "turn") & (x["end_ms"] - x["start_ms"] < min_ms)
         goes = F.when(short, decide(x, before, p["after"])).otherwise("stay")
-        longer = item(before, before["start_ms"], F.greatest(before["end_ms"], x["end_ms"]))
+        longer = _item(before, before["start_ms"], F.greatest(before["end_ms"], x["end_ms"]))
         kept = F.when(goes == "before", F.concat(F.slice(acc["kept"], 1, F.size(acc["kept"]) - 1), F.array(longer))).when(goes == "after", acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x)))
         return F.struct(kept.alias("kept"), F.when(goes == "after", x["start_ms"]).alias("carried")).cast(state)
 
@@ -269,36 +275,70 @@ def _to_nearer(x: Column, before: Column, after: Column) -> Column:
     return F.when(before.isNull() & after.isNull(), "stay").when(left <= right, "before").otherwise("after")
 
 
+def _settle(turns: DataFrame, min_ms: int, decide, name: str, *, voices: bool) -> DataFrame:
+    """One pass of ``decide`` over recordings of any length, in blocks of ``FOLD_ROWS``.
+
+    What a block needs of all rows before it is its entering state: voice and
+    end of the turn kept last, and the start its first row takes over. Every
+    block is folded from a guess (the last row before it, the largest end so
+    far); those whose guess differs from the state in which the block before
+    leaves are folded again, until all agree, which is exact because the first
+    block of a recording guesses nothing. A turn that stays makes the state
+    forget what came before, so the rounds are few; which turn a block lengthens is
+    told only at the end. ``voices``: whether ``decide`` looks at the voice
+    of the turn before.
+    """
+    keys, at = ["job_id", "blk"], F.floor(F.col("seq") / FOLD_ROWS).alias("blk")
+    up = F.floor(F.col("blk") / FOLD_ROWS)
+    voice = (lambda c: c) if voices else (lambda c: F.lit(None).cast("string"))
+    row = F.struct("seq", "speaker", "start_ms", "end_ms", F.lit("turn").alias("kind")).cast(_ITEM)
+    held = turns.groupBy("job_id", at).agg(F.sort_array(F.collect_list(row)).alias("turns"), F.max("end_ms").alias("reach"))
+    first, last = F.col("turns")[0], F.element_at("turns", -1)
+    around = scan(held, [
+        Step("next", "lead", F.struct(first["speaker"].alias("speaker"), first["start_ms"].alias("start_ms"))),
+        Step("voice", "lag", F.struct(last["speaker"].alias("speaker"))), Step("far", "max_before", F.col("reach")),
+    ], order="blk", block=up)
+    guess = F.struct(F.when(F.col("voice").isNotNull(), F.struct(voice(F.col("voice.speaker")).alias("speaker"), F.col("far").alias("end_ms"))).alias("before"), first["start_ms"].alias("start_ms"))
+    blocks = stage.cut(around.select(*keys, "turns", "next", guess.alias("enter")), f"{name}-blocks")
+
+    none, nobody = F.lit(None).cast("long"), F.array().cast(f"array<{_ITEM}>")
+    edge = lambda x, start, end, kind: F.when(x.isNull(), nobody).otherwise(F.array(F.struct(none.alias("seq"), x["speaker"].alias("speaker"), start.alias("start_ms"), end.alias("end_ms"), F.lit(kind).alias("kind")).cast(_ITEM)))
+    before, entry = F.col("enter.before"), F.col("enter.start_ms")
+    opened = F.transform("turns", lambda x, i: F.when(i == 0, _item(x, F.least(x["start_ms"], entry), x["end_ms"])).otherwise(x))
+    items = F.concat(edge(before, none, before["end_ms"], "before"), opened, edge(F.col("next"), F.col("next.start_ms"), none, "next"))
+    folded = lambda df: df.withColumn("kept", F.flatten(F.transform(F.array(items), lambda x: _settled(x, min_ms, decide))))
+
+    mine = F.filter("kept", lambda x: x["kind"] != "next")
+    end = F.get(mine, F.size(mine) - 1)
+    leave = F.struct(F.when(F.size(mine) > 0, F.struct(voice(end["speaker"]).alias("speaker"), end["end_ms"].alias("end_ms"))).alias("before"), F.element_at("kept", -1)["start_ms"].alias("start_ms"))
+    told = lambda df: folded(df).select(*keys, "enter", "kept", leave.alias("leave"))
+    done = stage.cut(told(blocks), f"{name}-folded")
+    while True:
+        met = scan(done.select(*keys, "enter", "leave"), [Step("given", "lag", F.col("leave"))], order="blk", block=up)
+        wrong = stage.cut(met.where(F.col("given").isNotNull() & ~F.col("given").eqNullSafe(F.col("enter"))).select(*keys, F.col("given").alias("enter")), f"{name}-wrong")
+        if wrong.isEmpty():
+            break
+        again = told(blocks.drop("enter").join(wrong, keys))
+        done = stage.cut(done.join(wrong, keys, "left_anti").unionByName(again), f"{name}-folded")
+
+    own = F.filter("kept", lambda x: x["kind"] == "turn")
+    heads = scan(done.select(*keys, F.get(own, F.size(own) - 1)["seq"].alias("last"), F.get(F.filter("kept", lambda x: x["kind"] == "before"), 0)["end_ms"].alias("_e")),
+                 [Step("seq", "last_before", F.col("last"))], order="blk", block=up)
+    grown = heads.where("_e is not null").groupBy("job_id", "seq").agg(F.max("_e").alias("_e"))
+    kept = done.select("job_id", F.inline(own)).drop("kind")
+    return kept.join(grown, ["job_id", "seq"], "left").withColumn("end_ms", F.greatest("end_ms", "_e")).drop("_e")
+
+
 def fuse_micro_turns(turns: DataFrame, min_ms: int = MICRO_MS, gap_ms: int = MICRO_GAP_MS) -> DataFrame:
     """Turns without flickers: short ones merged or absorbed, neighbours joined (fold_micro_turns).
 
-    Long turns split a recording into independent runs of short ones. A run
-    is one row with the end of the long turn before it and the start of the one
-    after it, which are all of those turns that a run can change. The last pass joins
+    ``seq`` follows the start of the turns. Short turns first go to a neighbour of the same
+    voice, then to the nearer one; no row holds more than a block of turns. The last pass joins
     same-speaker turns against the running largest end, as an island over scans.
     """
-    cols = ["job_id", "seq", "speaker", "start_ms", "end_ms"]
-    long = F.col("end_ms") - F.col("start_ms") >= min_ms
-    me = F.when(long, F.struct("seq", "speaker", "start_ms", "end_ms"))
-    rows = scan(turns.select(*cols), [Step("_l", "last_before", me), Step("_r", "next", me)])
-    turn = F.struct("seq", "speaker", "start_ms", "end_ms", F.lit("turn").alias("kind")).cast(_ITEM)
-    run = rows.where(~long).groupBy("job_id", F.coalesce("_l.seq", F.lit(-1).cast("long")).alias("run")).agg(
-        F.sort_array(F.collect_list(turn)).alias("turns"), F.first("_l").alias("l"), F.first("_r").alias("r"))
-    none, nobody = F.lit(None).cast("long"), F.array().cast(f"array<{_ITEM}>")
-    edge = lambda e, s, t, kind: F.when(e.isNull(), nobody).otherwise(F.array(F.struct(e["seq"].alias("seq"), e["speaker"].alias("speaker"), s.alias("start_ms"), t.alias("end_ms"), F.lit(kind).alias("kind")).cast(_ITEM)))
-    items = F.concat(edge(F.col("l"), none, F.col("l.end_ms"), "end"), F.col("turns"), edge(F.col("r"), F.col("r.start_ms"), none, "start"))
-    bind = lambda value, f: F.flatten(F.transform(F.array(value), f))
-    merged = bind(items, lambda x: _settled(x, min_ms, _to_same_voice(gap_ms)))
-    settled = run.select("job_id", F.inline(bind(merged, lambda x: _settled(x, min_ms, _to_nearer))))
-    settled = stage.cut(settled, "micro")
-    end = settled.where("kind = 'end'").select("job_id", "seq", F.col("end_ms").alias("_e"))
-    start = settled.where("kind = 'start'").select("job_id", "seq", F.col("start_ms").alias("_s"))
-    grown = (
-        turns.select(*cols).where(long).join(end, ["job_id", "seq"], "left").join(start, ["job_id", "seq"], "left")
-        .select("job_id", "seq", "speaker", F.least("start_ms", "_s").alias("start_ms"), F.greatest("end_ms", "_e").alias("end_ms"))
-        .unionByName(settled.where("kind = 'turn'").select(*cols))
-    )
-    return join_turns(stage.cut(grown, "grown"), gap_ms)
+    rows = turns.select("job_id", "seq", "speaker", "start_ms", "end_ms")
+    merged = _settle(rows, min_ms, _to_same_voice(gap_ms), "voice", voices=True)
+    return join_turns(stage.cut(_settle(merged, min_ms, _to_nearer, "nearer", voices=False), "grown"), gap_ms)
 
 
 def join_turns(turns: DataFrame, gap_ms: int = MICRO_GAP_MS) -> DataFrame:

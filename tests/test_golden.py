@@ -104,6 +104,37 @@ def test_micro_turns(spark, monkeypatch):
     assert got == {j: brute_micro(ts) for j, ts in jobs.items()}
 
 
+def fused_rows(spark, jobs):
+    df = turns_df(spark, [(j, i, s, e, w) for j, ts in jobs.items() for i, (s, e, w) in enumerate(ts)])
+    got = {}
+    for r in sequences.fuse_micro_turns(df).orderBy("job_id", "seq").collect():
+        got.setdefault(r.job_id, []).append((r.start_ms, r.end_ms, r.speaker))
+    return got
+
+
+@pytest.mark.parametrize("rows", [2, 5])
+def test_micro_turns_across_blocks(spark, monkeypatch, rows):
+    """States that cross several blocks: one voice, short turns inside very long ones, equal starts, no speaker."""
+    monkeypatch.setattr(sequences, "FOLD_ROWS", rows)
+    rng = random.Random(rows)
+    jobs = {j: random_timeline(rng, rng.randint(1, 40), rng.random()) for j in range(30)}
+    jobs |= {j: [(s, e, rng.choice(["A", None])) for s, e, _ in random_timeline(rng, 30, 1.0)] for j in range(30, 40)}
+    jobs |= {j: sorted([(0, 20_000, "A")] + [(s, s + rng.choice([0, 50, 399]), rng.choice("AB")) for s in rng.choices(range(25_000), k=50)], key=lambda t: t[0]) for j in range(40, 50)}
+    jobs |= {50: [(0, 10, "A")], 51: [(5, 5, "A"), (5, 5, "B"), (5, 5, "A")], 52: [(100, 200, "A")] * 12}
+    assert fused_rows(spark, jobs) == {j: brute_micro(ts) for j, ts in jobs.items()}
+
+
+@pytest.mark.parametrize("voices", ["A", "ABC"])
+def test_micro_turns_of_one_long_flicker(spark, voices):
+    """No long turn parts the run, and no row may hold more than a block of it."""
+    rng = random.Random(9)
+    at, rows = 0, []
+    for _ in range(100_000):
+        rows.append((at, at + rng.randint(0, 399), rng.choice(voices)))
+        at = rows[-1][1] + rng.choice([0, 100, 900, 1500])
+    assert fused_rows(spark, {1: rows}) == {1: brute_micro(rows)}
+
+
 def brute_orphans(rows):
     out = []
     for i, (s, e, who) in enumerate(rows):
