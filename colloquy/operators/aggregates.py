@@ -320,16 +320,33 @@ def term_usage(runs: DataFrame) -> DataFrame:
     return distinct_run_terms(runs).groupBy("term").agg(F.count(F.lit(1)).alias("runs"))
 
 
+#: Terms of a run up to which they meet in one place, and the shares a run's terms are dealt to.
+PAIR_TERMS, RUN_SHARES = 512, 16
+
+
+def _term_blocks(terms: DataFrame) -> DataFrame:
+    """``terms`` (run, term) with ``parts``, the blocks of the run, and ``blk``, the term's own."""
+    share = F.pmod(F.xxhash64("term"), F.lit(RUN_SHARES)).cast("int")
+    crowded = terms.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PAIR_TERMS)
+    crowded = crowded.select("run", F.ceil(F.col("n") / PAIR_TERMS).cast("int").alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(RUN_SHARES - 1))).alias("_share"))
+    told = terms.withColumn("_share", share).join(crowded, ["run", "_share"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return told.select("run", "term", "parts", F.pmod(F.xxhash64("term", F.lit("block")), F.col("parts")).cast("int").alias("blk"))
+
+
 def cooccurrence(runs: DataFrame) -> DataFrame:
     """Symmetric counts of terms used in the same run (agg_cooccurrence).
 
     Terms are made distinct per run before the pairing, only one order of a
     pair is built, pairs are added up map-side, and the mirror is made from
-    the counts. A run with very many terms is split by AQE's skew join.
+    the counts. The terms of a crowded run are dealt in blocks, and every two of its
+    blocks meet under a key of their own, so that one run fills all tasks.
+    Rows without a run count for nothing.
     """
-    terms = distinct_run_terms(runs)
-    a, b = terms.withColumnRenamed("term", "a"), terms.withColumnRenamed("term", "b")
-    half = a.join(b, "run").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("runs"))
+    terms = _term_blocks(distinct_run_terms(runs).where(F.col("run").isNotNull()))
+    a = terms.select("run", F.col("term").alias("a"), F.col("blk").alias("x"), F.explode(F.sequence("blk", F.col("parts") - 1)).alias("y"))
+    b = terms.select("run", F.col("term").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("x"), F.col("blk").alias("y"))
+    pairs = a.join(b, ["run", "x", "y"]).where((F.col("x") < F.col("y")) | (F.col("a") < F.col("b")))
+    half = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("runs"))
     both = F.array(F.struct(F.col("a").alias("term"), F.col("b").alias("other")), F.struct(F.col("b").alias("term"), F.col("a").alias("other")))
     return half.select(F.inline(both), "runs")
 

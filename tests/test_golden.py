@@ -10,7 +10,7 @@ from colloquy.functions import clock as C
 from colloquy.functions import rewrite as R
 from colloquy.functions import text as T
 from colloquy.functions.phonetic import phonetic_key
-from colloquy.operators import chunks, corrections, glossary, joins, mining, ordered, sequences, speakers
+from colloquy.operators import aggregates, chunks, corrections, glossary, joins, mining, ordered, sequences, speakers
 
 
 def values(spark, column, *texts):
@@ -472,6 +472,35 @@ def test_ball_tree_grows_with_the_profiles(spark, monkeypatch):
     assert all(b <= 15 * a for a, b in zip(*pairs)), pairs
 
 
+@pytest.mark.parametrize("most", [1, 4, 512])
+def test_terms_of_crowded_runs(spark, monkeypatch, most):
+    monkeypatch.setattr(aggregates, "PAIR_TERMS", most)
+    rng = random.Random(most)
+    rows = [(rng.choice([1, 1, 1, 2, 3, None]), rng.choice([f"t{i}" for i in range(25)] + [" T3 ", "", None])) for _ in range(300)]
+    spelled = {}
+    for run, term in rows:
+        if run is not None and term and term.strip():
+            seen = spelled.setdefault(run, {})
+            seen[term.strip().lower()] = min(term.strip(), seen.get(term.strip().lower(), term.strip()))
+    want = {}
+    for terms in spelled.values():
+        for a in terms.values():
+            for b in terms.values():
+                if a != b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    df = spark.createDataFrame(rows, "run long, term string")
+    got = [((r.term, r.other), r.runs) for r in aggregates.cooccurrence(df).collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert aggregates.cooccurrence(df.limit(0)).count() == 0
+
+
+def test_one_run_with_most_terms_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(aggregates, "PAIR_TERMS", 50)
+    df = spark.range(3_000).select(F.when(F.col("id") < 1_000, 0).otherwise(F.col("id")).alias("run"), F.concat(F.lit("t"), "id").alias("term"))
+    blocks = aggregates._term_blocks(df).groupBy("run", "blk").count().collect()
+    assert sum(r.run == 0 for r in blocks) == 20 and max(r["count"] for r in blocks) < 100
+
+
 def test_redact(spark):
     from colloquy.operators.library import redact
 
