@@ -107,12 +107,14 @@ class Scanner:
         found = []
         for i, windows in self._windows(low).items():
             n = self.notices[i]
-            for a, b in windows:
-                at = a
-                while at < b and (m := self.verify[i].search(low, at, b)):
+            # The search gives the best place of a stretch, so both what is before and what is after it is searched again.
+            open_parts = windows
+            while open_parts:
+                a, b = open_parts.pop()
+                if a < b and (m := self.verify[i].search(low, a, b)):
                     edits = sum(m.fuzzy_counts)
                     found.append((n.label, m.start(), m.end(), edits, 1 - edits / len(n.text)))
-                    at = max(m.end(), at + 1)
+                    open_parts += [[a, m.start()], [m.end(), b]]
         return sorted(found, key=lambda x: (x[1], x[2], x[0], x[3]))
 
     def scan(self, text: bytes | None) -> dict:
