@@ -7,15 +7,18 @@ vanish are skipped when their list is read, the new neighbours are appended to
 the lists of their ranks. A text's ids are its words' ids in order.
 
 The vocabulary file (JSON of the tokenizers library, BPE over byte letters
-with a word-end mark) is a parameter and is read on the executors, not copied.
+with a word-end mark) is a parameter, a path or a name that each executor looks up, not copied.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
 import json
+import os
 import re
+import sys
 import unicodedata
 
 import numpy as np
@@ -40,22 +43,67 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-def latin_pattern(pattern: str) -> str:
-    """``pattern`` with its letter, number and space classes written out for texts of the first 256 code points."""
-    of = lambda test: "".join(f"\\x{c:02x}" for c in range(256) if test(chr(c)))
-    pattern = pattern.replace("[\\p{L}]", "\\p{L}").replace("[\\p{N}]", "\\p{N}")
-    sets = {"\\p{L}": of(lambda c: unicodedata.category(c)[0] == "L"), "\\p{N}": of(lambda c: unicodedata.category(c)[0] == "N"), "\\s": of(lambda c: regex.match(r"\p{White_Space}", c))}
-    out = re.sub(r"\[\^([^\]]*)\]", lambda m: "[^" + "".join(sets[x] for x in re.findall(r"\\p\{.\}|\\s", m[1])) + "]", pattern)
+#: Letters and numbers that Unicode 16.0 added to 15.1, which ``unicodedata`` may not know yet. The tokenizers library has 16.0.
+ADDED = {
+    "L": (
+        (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+        (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+        (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+    ),
+    "N": (
+        (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA),
+    ),
+}
+
+#: Capitals that Unicode 16.0 and 17.0 added, as (first, last, first small letter).
+CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x0264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3),
+    (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x019B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+SMALL = {c: small + c - a for a, b, small in CAPITALS for c in range(a, b + 1)}
+NEW_CAPITAL = re.compile("[" + "".join(map(chr, SMALL)) + "]")
+
+
+@functools.cache
+def _ranges(head: str, end: int) -> str:
+    """The code points below ``end`` of a general category (or white space), as ranges of a character set.
+
+    The installed regex library knows newer letters and digits than the tokenizers library, so they are not taken from there.
+    """
+    added = {c for a, b in ADDED.get(head, ()) for c in range(a, b + 1)}
+    inside = (lambda c: regex.match(r"\p{White_Space}", chr(c))) if head == "s" else (lambda c: unicodedata.category(chr(c))[0] == head or c in added)
+    runs: list[list[int]] = []
+    for c in filter(inside, range(end)):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+
+
+def pattern_below(pattern: str, end: int) -> str:
+    """``pattern`` with its letter, number and space classes written out for texts of the code points below ``end``."""
+    sets = {r"\p{L}": _ranges("L", end), r"\p{N}": _ranges("N", end), r"\s": _ranges("s", end)}
+    out = re.sub(r"\[(\^?)([^\]]*)\]", lambda m: "[" + m[1] + "".join(sets[x] for x in re.findall(r"\\p\{.\}|\\s", m[2])) + "]", pattern)
     for name, chars in sets.items():
         out = out.replace(name, f"[{chars}]")
     return out
 
 
+def vocabulary_path(name: str) -> str:
+    """Where this machine keeps a vocabulary: a path as it is, a bare file name from the installed package of public vocabularies."""
+    if os.sep in name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 class Vocabulary:
     """Tokens, merge ranks, and the text rules of one vocabulary file."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
+    def __init__(self, name: str):
+        with open(vocabulary_path(name), encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         ids: dict[str, int] = model["vocab"]
@@ -67,8 +115,8 @@ class Vocabulary:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         steps = [s for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split"]
         pattern = steps[0]["pattern"]["Regex"]
-        self.words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
-        self.latin_words = re.compile(latin_pattern(pattern))
+        self.words = re.compile(pattern_below(pattern, sys.maxunicode + 1))
+        self.latin_words = re.compile(pattern_below(pattern, 256))
         end = model["end_of_word_suffix"]
         letters = byte_letters()
         self.inner = np.array([ids[x] for x in letters], np.int64)
@@ -85,6 +133,8 @@ class Vocabulary:
         """NFC and lower case letter by letter (a final sigma stays a plain one)."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if NEW_CAPITAL.search(text):
+                text = text.translate(SMALL)
         return text.lower()
 
     def split_words(self, text: str) -> list[str]:
@@ -252,7 +302,7 @@ def _decoded(ids: pa.Array, tokens: pa.Array) -> pa.Array:
     return pc.binary_join(named, " ")
 
 
-def coded(docs: DataFrame, vocabulary_path: str, text: str = "text", ids: str = "ids", decoded: str | None = None, drop_text: bool = False) -> DataFrame:
+def coded(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str | None = None, drop_text: bool = False) -> DataFrame:
     """``docs`` with the token ids of ``text`` in ``ids`` (array<int>) and, if asked for, the text they decode to in ``decoded``.
 
     No special tokens are added; those written in a text count. Decoding joins
@@ -267,7 +317,7 @@ def coded(docs: DataFrame, vocabulary_path: str, text: str = "text", ids: str =
     names = [f.name for f in kept]
 
     def work(batches):
-        v = Vocabulary(vocabulary_path)
+        v = Vocabulary(vocabulary)
         encoder, tokens = Encoder(v), pa.array(v.tokens, pa.string())
         for batch in batches:
             for start in range(0, len(batch), TEXTS_TOGETHER):
@@ -282,7 +332,7 @@ def coded(docs: DataFrame, vocabulary_path: str, text: str = "text", ids: str =
     return docs.mapInArrow(work, T.StructType([*kept, *kinds]))
 
 
-def with_decoded(docs: DataFrame, vocabulary_path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
+def with_decoded(docs: DataFrame, vocabulary: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """``docs`` with the text of a column of ids. Null ids give null."""
 
     held: list[pa.Array] = []  # filled once in each task
@@ -290,7 +340,7 @@ def with_decoded(docs: DataFrame, vocabulary_path: str, ids: str = "ids", to: st
     @F.arrow_udf(T.StringType())
     def decode(rows: pa.Array) -> pa.Array:
         if not held:
-            held.append(pa.array(Vocabulary(vocabulary_path).tokens, pa.string()))
+            held.append(pa.array(Vocabulary(vocabulary).tokens, pa.string()))
         tokens = held[0]
         return pa.concat_arrays([_decoded(rows.slice(at, TEXTS_AT_ONCE), tokens) for at in range(0, len(rows), TEXTS_AT_ONCE)] or [pa.array([], pa.string())])
 

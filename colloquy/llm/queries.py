@@ -8,7 +8,7 @@ from colloquy.llm import bpe, chat_format, chunk_dedup, divergence, importance,
 from colloquy.llm.ordering import with_next
 from colloquy.llm.registry import query, table
 
-VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+VOCABULARY = "word_bpe_49k.json"
 
 
 def hex64(column: str):

@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import sys
 import re
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -14,7 +16,7 @@ from __spark_entry__ import queries
 from colloquy.llm import bpe, chunk_dedup, langid, license_scan, minhash, winnow
 from tests.llm import odd
 
-VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+VOCABULARY = "word_bpe_49k.json"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -165,7 +167,7 @@ def test_chunk_dedup_of_odd_rows(spark):
 
 
 def test_bpe_equals_the_library(spark):
-    lib, v = Tokenizer.from_file(VOCABULARY), bpe.Vocabulary(VOCABULARY)
+    lib, v = Tokenizer.from_file(bpe.vocabulary_path(VOCABULARY)), bpe.Vocabulary(VOCABULARY)
     r = random.Random(2)
     letters = "abAB 'stréÉΣσςİ  \x1c\x85\n\t09½Ⅳ!?-—🙂日本éǅﬀ"
     texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(2000)]
@@ -175,10 +177,21 @@ def test_bpe_equals_the_library(spark):
         assert a.tolist() == b.ids, t
 
 
+def test_bpe_knows_every_code_point_as_the_library_does():
+    lib, v = Tokenizer.from_file(bpe.vocabulary_path(VOCABULARY)), bpe.Vocabulary(VOCABULARY)
+    # all that any installed table knows; the others are private or unassigned everywhere
+    known = regex.compile(r"[^\p{Cn}\p{Co}\p{Cs}]")
+    texts = [f"a{chr(c)}b {chr(c)}{chr(c)}1" for c in range(sys.maxunicode + 1) if known.match(chr(c))]
+    for at in range(0, len(texts), 50_000):
+        part = texts[at : at + 50_000]
+        for t, a, b in zip(part, bpe.Encoder(v).encode(part), lib.encode_batch(part, add_special_tokens=False)):
+            assert a.tolist() == b.ids, [hex(ord(c)) for c in t]
+
+
 def test_bpe_of_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(bpe, "WORDS_AT_ONCE", 50)
     monkeypatch.setattr(bpe, "WORDS_HELD", 200)
-    lib = Tokenizer.from_file(VOCABULARY)
+    lib = Tokenizer.from_file(bpe.vocabulary_path(VOCABULARY))
     df = odd.docs(spark)
     got = bpe.coded(df, VOCABULARY, decoded="back")
     assert got.columns == [*df.columns, "ids", "back"]
@@ -230,6 +243,15 @@ def test_notices_with_edits():
     assert scan.fuzzy("the quick brown fox has no rights at all") == []
 
 
+def test_every_place_of_a_notice_counts():
+    scan = license_scan.Scanner()
+    text = "all right reserved. all rights reserved. all rights reserve."
+    assert [(x[0], x[3]) for x in scan.fuzzy(text)] == [("all-rights-reserved", k) for k in (1, 0, 1)]
+    n = next(n for n in license_scan.NOTICES if n.label == "apache")
+    rough = n.text.replace("licensed", "licenced")
+    assert [x[3] for x in scan.fuzzy(f"{rough} {n.text} {rough}") if x[0] == "apache"] == [1, 0, 1]
+
+
 def test_licenses_of_odd_rows(spark):
     rows = [(1, None, None, None), (2, "", None, None), (3, "MIT\nLicense; mit-license. smit license, MIT LICENSES", None, None), (3, "General Public  License", None, None)]
     got = license_scan.with_licenses(odd.docs(spark, rows)).select("doc_id", "licenses.*").collect()
