@@ -329,6 +329,39 @@ def apply_terms(spark, text, terms, windows=False):
     return r.text, [(s.original, s.replacement, s.method) for s in r.subs]
 
 
+def test_pairs_by_pieces_are_all_pairs(spark):
+    rng = random.Random(11)
+    def edited(t):
+        t = list(t)
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(t) + 1)
+            t[i : i + rng.randrange(2)] = rng.choice(["", "A", "B"])
+        return "".join(t)
+
+    base = ["".join(rng.choice("AB") for _ in range(rng.randrange(4, 15))) for _ in range(150)]
+    right = [(rng.choice("xy"), t) for t in base] + [("x", ""), (None, "ABABABABAB"), ("x", None)]
+    left = [(rng.choice("xy"), edited(t)) for t in base for _ in range(3)] + [("x", ""), (None, "ABABABABAB"), ("x", None), ("x", "A" * 400)]
+    limit = lambda n: 0 if n <= 5 else 1 if n <= 8 else 2
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    want = {
+        (g, a, b, distance(a, b)) for g, a in left for h, b in right
+        if g and g == h and a and b and abs(len(a) - len(b)) <= 2 and distance(a, b) <= limit(len(b))}
+    out = glossary.pairs_by_pieces(
+        spark.createDataFrame(left, "g string, l string"), "l", spark.createDataFrame(right, "g string, r string"), "r",
+        lambda n: F.when(n <= 5, 0).when(n <= 8, 1).otherwise(2), 2, "g")
+    got = [(r.g, r.l, r.r, r.distance) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+
+
 def test_glossary(spark):
     assert apply_terms(spark, "On paie avec MOLI, puis Clarna.", ["Mollie", "Klarna"]) == (
         "On paie avec MOLLIE, puis Klarna.", [("MOLI", "MOLLIE", "phonetic"), ("Clarna", "Klarna", "phonetic")])
