@@ -261,7 +261,15 @@ def rename(segments: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 MEETING_LIMIT, MEETING_MIN_PEOPLE, MIN_WINDOW_HOURS = 10, 2, 0.25
-HOUR_US = 3_600_000_000
+HOUR_US, SECOND_US = 3_600_000_000, 1_000_000
+#: Levels of the tree over the seconds of an hour, and two places beside it.
+HOUR_LEVELS, IN_SECOND, BY_START = 12, -1, -2
+
+
+def _first_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The first ten meetings by start of each key; Spark cuts them before the shuffle as well."""
+    w = Window.partitionBy(*keys).orderBy("s", "meeting_id")
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= MEETING_LIMIT).drop("_n")
 
 
 def meetings_near(recordings: DataFrame, meetings: DataFrame, partners: DataFrame, window_hours: float = 2.0) -> DataFrame:
@@ -269,19 +277,38 @@ def meetings_near(recordings: DataFrame, meetings: DataFrame, partners: DataFram
 
     The first ten by start are taken before the test for two people.
     ``recordings``: rec_id, near. ``meetings``: meeting_id, start_at,
-    stop_at, partner_ids.
+    stop_at, partner_ids. A meeting without a start or a stop, or that stops before it starts, is near nothing.
+
+    A window asks for the first ten by start that have not stopped at its
+    beginning. Each hour keeps a tree over the second in which its meetings stop (at its end
+    if they go on), and each node the first ten by start below it. A window reads one
+    node for each zero bit of its first second, ten meetings each, the meetings that stop in
+    that very second, and the first ten of each later hour: the rows it
+    meets do not grow with the meetings of an hour.
     """
     half = int(max(MIN_WINDOW_HOURS, window_hours) * HOUR_US)
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    hour = lambda c: F.floor(F.col(c) / HOUR_US)
     # Recordings of the same instant share their meetings.
     asked, recordings = recordings.select("rec_id", "near"), recordings.select(F.col("near").alias("rec_id"), "near").distinct()
-    rec = recordings.select("rec_id", (us("near") - half).alias("lo"), (us("near") + half).alias("hi"))
-    rec = rec.withColumn("_b", _buckets(F.col("lo"), F.col("hi"), HOUR_US))
-    meet = meetings.select("meeting_id", us("start_at").alias("s"), us("stop_at").alias("e"), "partner_ids")
-    meet = meet.withColumn("_b", _buckets(F.col("s"), F.col("e"), HOUR_US))
-    hit = (F.col("s") <= F.col("hi")) & (F.col("e") >= F.col("lo")) & (F.col("_b") == F.floor(F.greatest("s", "lo") / HOUR_US))
+    rec = recordings.select("rec_id", (us("near") - half).alias("lo"), (us("near") + half).alias("hi")).withColumn("_b", hour("lo"))
+    rec = rec.withColumn("_second", F.floor((F.col("lo") - F.col("_b") * HOUR_US) / SECOND_US).cast("int"))
+    place = lambda b, level, node: F.struct(b.cast("long").alias("_b"), F.lit(level).alias("_level"), node.cast("int").alias("_node"))
+    read = [F.when(F.shiftright("_second", j).bitwiseAND(F.lit(1)) == 0, place(F.col("_b"), j, F.shiftright("_second", j) + 1)) for j in range(HOUR_LEVELS)]
+    read.append(place(F.col("_b"), IN_SECOND, F.col("_second")))
+    later = F.when(hour("hi") > F.col("_b"), F.transform(F.sequence(F.col("_b") + 1, F.greatest(F.col("_b") + 1, hour("hi"))), lambda b: place(b, BY_START, F.lit(0))))
+    rec = rec.withColumn("_at", F.explode(F.concat(F.array_compact(F.array(*read)), F.coalesce(later, F.array().cast("array<struct<_b:bigint,_level:int,_node:int>>")))))
+    rec = rec.select("rec_id", "lo", "hi", "_at.*")
+
+    meet = meetings.select("meeting_id", us("start_at").alias("s"), us("stop_at").alias("e"), "partner_ids").where("s <= e")
+    begun = _first_of(meet.withColumn("_b", hour("s")), ["_b"]).withColumn("_level", F.lit(BY_START)).withColumn("_node", F.lit(0))
+    open_ = meet.withColumn("_b", _buckets(F.col("s"), F.col("e"), HOUR_US)).withColumn("e", F.least("e", (F.col("_b") + 1) * HOUR_US - 1))
+    open_ = _first_of(open_, ["_b", "e"]).withColumn("_node", F.floor((F.col("e") - F.col("_b") * HOUR_US) / SECOND_US).cast("int"))
+    nodes = open_.select("*", F.explode(F.sequence(F.lit(0), F.lit(HOUR_LEVELS - 1))).alias("_level")).withColumn("_node", F.expr("shiftright(_node, _level)"))
+    heads = _first_of(nodes, ["_b", "_level", "_node"]).unionByName(open_.withColumn("_level", F.lit(IN_SECOND))).unionByName(begun)
+    met = rec.join(heads, ["_b", "_level", "_node"]).where((F.col("s") <= F.col("hi")) & (F.col("e") >= F.col("lo")))
     w = Window.partitionBy("rec_id").orderBy("s", "meeting_id")
-    head = rec.join(meet, "_b").where(hit).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= MEETING_LIMIT)
+    head = met.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= MEETING_LIMIT)
     head = head.where(F.size("partner_ids") >= MEETING_MIN_PEOPLE).select("rec_id", "meeting_id", "rank", "partner_ids")
     seats = head.select("rec_id", "meeting_id", "rank", F.posexplode("partner_ids").alias("_p", "partner_id"))
     who = partners.select("partner_id", F.struct(F.col("partner_id").alias("id"), "name", "email", "company").alias("person"))

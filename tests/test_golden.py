@@ -320,6 +320,28 @@ def test_close_pairs(spark):
         assert got == {(s, t) for s in words[::2] for t in words[1::2] if lev(s, t) <= k}
 
 
+@pytest.mark.parametrize("crowd", [40, 2000])
+def test_meetings_near_in_a_crowded_hour(spark, crowd):
+    rng = random.Random(crowd)
+    base, minute = 1_700_000_400, 60  # a full hour is in between
+    meets = []
+    for i in range(crowd):
+        start = base + rng.choice([0, 600, rng.randrange(7200), rng.randrange(-9000, 9000)])
+        stop = start + rng.choice([0, 1, minute, 30 * minute, rng.randrange(1, 9000)])
+        meets.append((i, float(start) + rng.choice([0, 0.25]), float(stop) + rng.choice([0.25, 0.5]), [1, 2]))
+    asked = [(i, float(base + rng.choice([0, 1800, rng.randrange(-9000, 12000)])) + rng.choice([0, 0.25, 0.4])) for i in range(150)]
+    m = spark.createDataFrame(meets + [(-1, None, float(base), [1, 2]), (-2, base + 900.0, base - 900.0, [1, 2])], "meeting_id long, a double, z double, partner_ids array<long>")
+    m = m.select("meeting_id", F.col("a").cast("timestamp").alias("start_at"), F.col("z").cast("timestamp").alias("stop_at"), "partner_ids")
+    rec = spark.createDataFrame(asked, "rec_id long, n double").select("rec_id", F.col("n").cast("timestamp").alias("near"))
+    who = spark.createDataFrame([(1, "a", "", ""), (2, "b", "", "")], "partner_id long, name string, email string, company string")
+    got = {}
+    for r in joins.meetings_near(rec, m, who, 0.5).orderBy("rec_id", "rank").collect():
+        got.setdefault(r.rec_id, []).append(r.meeting_id)
+    for i, near in asked:
+        want = [x for _, x in sorted((a, x) for x, a, z, _ in meets if a <= near + 1800 and z >= near - 1800)][:10]
+        assert got.get(i, []) == want, i
+
+
 # ------------------------------------------------------------------ glossary and corrections
 
 def apply_terms(spark, text, terms, windows=False):
