@@ -63,6 +63,10 @@ CAPITALS = (
 SMALL = {c: small + c - a for a, b, small in CAPITALS for c in range(a, b + 1)}
 NEW_CAPITAL = re.compile("[" + "".join(map(chr, SMALL)) + "]")
 
+#: No letter, number or space stands in the planes from the fourth on.
+LETTERS_END = 0x40000
+ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
 
 @functools.cache
 def _ranges(head: str, end: int) -> str:
@@ -70,15 +74,15 @@ def _ranges(head: str, end: int) -> str:
 
     The installed regex library knows newer letters and digits than the tokenizers library, so they are not taken from there.
     """
-    added = {c for a, b in ADDED.get(head, ()) for c in range(a, b + 1)}
-    inside = (lambda c: regex.match(r"\p{White_Space}", chr(c))) if head == "s" else (lambda c: unicodedata.category(chr(c))[0] == head or c in added)
-    runs: list[list[int]] = []
-    for c in filter(inside, range(end)):
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+    end = min(end, LETTERS_END)
+    if head == "s":
+        runs = regex.finditer(r"\p{White_Space}+", "".join(map(chr, range(end))))
+    else:
+        heads = [kind[0] for kind in map(unicodedata.category, map(chr, range(end)))]
+        for a, b in ADDED[head]:
+            heads[a : b + 1] = [head] * len(heads[a : b + 1])
+        runs = re.finditer(f"{head}+", "".join(heads))
+    return "".join(f"\\U{m.start():08x}-\\U{m.end() - 1:08x}" for m in runs)
 
 
 def pattern_below(pattern: str, end: int) -> str:
@@ -116,6 +120,7 @@ class Vocabulary:
         steps = [s for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split"]
         pattern = steps[0]["pattern"]["Regex"]
         self.words = re.compile(pattern_below(pattern, sys.maxunicode + 1))
+        self.plain_words = re.compile(pattern_below(pattern, 0x10000))
         self.latin_words = re.compile(pattern_below(pattern, 256))
         end = model["end_of_word_suffix"]
         letters = byte_letters()
@@ -141,7 +146,8 @@ class Vocabulary:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return self.words.findall(text)
+            # a class of characters of the first plane is one look into a table, one of all planes a walk over ranges
+            return (self.words if ASTRAL.search(text) else self.plain_words).findall(text)
         return self.latin_words.findall(text)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
