@@ -1,7 +1,8 @@
-"""Near duplicates by exact shingle similarity, candidates from MinHash bands.
+"""Near duplicates by SimHash and MinHash candidates, confirmed by exact shingle similarity.
 
-SimHash bits of texts at similarity 0.8 differ too often for a small distance,
-and a wide one makes nearly all pairs candidates. So texts meet where all
+Texts meet whose SimHash fingerprints are linked as in op7 (four or fewer differing bits).
+Bits of texts at similarity 0.8 differ too often for a small distance,
+and a wide one makes nearly all pairs candidates. So texts also meet where all
 minima of one of BANDS bands agree, and what meets is compared by its shingles
 inside the bucket's task; only a spanning forest of the true links leaves it.
 Buckets of equal members are compared once. A large bucket first compares each
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colloquy.llm import simhash
 from colloquy.llm.components import components
 from colloquy.llm.written import written
 
@@ -153,6 +155,13 @@ def links(nodes: DataFrame, texts: DataFrame, least: float = LEAST_LIKENESS, wor
     return components(near.union(far))
 
 
+def simhash_groups(nodes: DataFrame) -> DataFrame:
+    """(fp, group): every different fingerprint of ``nodes`` and one of those it is linked to, directly or by others."""
+    prints = written(nodes.groupBy("fp").agg(F.min("node").alias("least")), "near-prints")
+    roots = components(simhash.links(prints))
+    return prints.select("fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"))
+
+
 def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST_LIKENESS, words_in_shingle: int = WORDS_IN_SHINGLE) -> DataFrame:
     """One row per document: its id and ``component_id``, the smallest id of its group.
 
@@ -164,7 +173,10 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     body = F.coalesce(F.col(text), F.lit(""))
     bare = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("node"), body.alias("text"))
     ids = bare.select("doc_id", "node")
-    nodes = written(bare.select("doc_id", "node", _keys_udf(words_in_shingle)(F.col("text")).alias("keys")).groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")), "nodes")
+    told = simhash.with_simhash(bare.withColumn("keys", _keys_udf(words_in_shingle)(F.col("text"))))
+    nodes = written(told.select("doc_id", "node", "keys", "fp").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "nodes")
+    # The SimHash group is one more band: its members meet and are compared as those of a MinHash bucket.
+    nodes = nodes.join(simhash_groups(nodes), "fp").select("node", "least", F.concat("keys", F.array("group")).alias("keys"))
     roots = links(nodes.select("node", "keys"), bare.select("node", "text"), least, words_in_shingle)
     reached = written(nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "reached")
     named = reached.groupBy("root").agg(F.min("least").alias("component_id"))
