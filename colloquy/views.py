@@ -7,7 +7,7 @@ and read from there by every query, as a stored segments table would be.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy import stage
@@ -200,13 +200,17 @@ def api_usage(spark: SparkSession, sf: str) -> DataFrame:
     return with_token_cost(rows, catalogue(spark))
 
 
+def pieces(spark: SparkSession, sf: str, keep: Column | None = None) -> DataFrame:
+    """Distinct stretches of the documents between blanks, so that dear patterns read each of them once."""
+    rows = table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("piece"))
+    return (rows if keep is None else rows.where(keep)).distinct()
+
+
 def glossary(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct capitalised words of the documents."""
-    return (
-        table(spark, sf, "documents")
-        .select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]{4,})"), F.lit(1)))).alias("term"))
-        .distinct()
-    )
+    capital = F.lower("piece") != F.col("piece")
+    found = F.regexp_extract_all("piece", F.lit(r"([A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]{4,})"), F.lit(1))
+    return pieces(spark, sf, capital).select(F.explode(found).alias("term")).distinct()
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
