@@ -56,3 +56,13 @@ def test_pieces_give_the_words_of_the_whole_text(spark, tmp_path):
     got = sorted((r.word, r.term, r.distance) for r in fn_edit_distance(spark, str(tmp_path)).collect())
     assert got == sorted((w, t, _edits(w, t)) for w in words for t in terms if _edits(w, t) <= 1)
 
+
+def test_heads_meet_once_where_first_letters_are_equal(spark):
+    words = ["", "e", "er", "ere", "eres", "erst", "erest", "eresto", "erinto", "ers"]
+    one = spark.createDataFrame([(w,) for w in words], "w string")
+    asked = {r.w: r.h for r in one.select("w", G._asked(F.col("w")).alias("h")).collect()}
+    offered = {r.w: r.h for r in one.select("w", G._offered(F.col("w")).alias("h")).collect()}
+    for x in words:
+        for y in words:
+            k = 2 if min(len(x), len(y)) <= 4 else 3
+            assert len(set(asked[x]) & set(offered[y])) == (bool(x and y) and x[:k] == y[:k]), (x, y)
