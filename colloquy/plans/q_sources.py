@@ -170,8 +170,7 @@ def src_title_json(spark, sf):
 def src_transcript_lines(spark, sf):
     path = stage.fresh_path(spark, "transcripts")
     R.write_lines(V.transcript_lines(spark, sf).withColumnRenamed("seq", "line_no"), path)
-    lines = spark.read.schema("value string, job_id bigint").text(path)
-    return P.transcript_rows(lines, ["job_id"], "value")
+    return P.transcript_rows(R.read_lines(spark, path), ["job_id"], "value")
 
 
 @query("src_library_tables", """
@@ -265,7 +264,7 @@ def sink_speakers_txt(spark, sf):
     """The paragraph form, written as text files and read back."""
     path = stage.fresh_path(spark, "rendered")
     R.write_lines(R.render(V.captions(spark, sf), "txt", speakers=True), path)
-    return spark.read.schema("value string, job_id bigint").text(path)
+    return R.read_lines(spark, path)
 
 
 @query("sink_review")
