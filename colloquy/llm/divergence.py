@@ -32,7 +32,7 @@ LEAST_DOCS = 10
 DIGITS, ADDED = 3, 2
 #: Sources of one block of the pair sums.
 BLOCK = 128
-#: Different words that a task holds before it writes their partial counts.
+#: Different words by source that a task holds before it writes their partial counts.
 HELD = 200_000
 #: Pair sums that a task holds, and rows of a matrix.
 HELD_PAIRS, MATRIX = 64, 512
@@ -55,47 +55,49 @@ def _partial_counts(digest_bits: int):
     mask = (1 << digest_bits) - 1
 
     def count(batches):
-        # language -> term -> source -> occurrences; under None the documents
-        held: dict[str, dict[bytes, dict]] = {}
+        # language -> documents of each term, and language -> source -> occurrences of each term
+        docs: dict[str, Counter] = {}
+        said: dict[str, dict[str, Counter]] = {}
         size = 0
 
         def rows():
-            for lang, found in held.items():
-                words = list(found)
-                for at in range(0, len(words), 20_000):
-                    part = words[at : at + 20_000]
-                    docs = [found[w].pop(None) for w in part]
-                    each = [found[w] for w in part]
-                    ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
-                    flat = [pa.array(itertools.chain.from_iterable(each), pa.string()), pa.array(itertools.chain.from_iterable(x.values() for x in each), pa.int64())]
+            for lang, seen in docs.items():
+                words, counters = list(seen), list(said[lang].values())
+                place = dict(zip(words, range(len(words)))).__getitem__
+                at = np.concatenate([np.fromiter(map(place, c), np.int64, len(c)) for c in counters])
+                n = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in counters])
+                who, names = np.repeat(np.arange(len(counters)), [len(c) for c in counters]), pa.array(list(said[lang]), pa.string())
+                order = np.argsort(at, kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(words)))]).astype(np.int32)
+                for low in range(0, len(words), 20_000):
+                    part = words[low : low + 20_000]
+                    bounds = ends[low : low + len(part) + 1]
+                    mine = order[bounds[0] : bounds[-1]]
+                    flat = [names.take(pa.array(who[mine])), pa.array(n[mine])]
                     yield pa.record_batch({
                         "lang": pa.array([lang] * len(part), pa.string()),
                         "digest": pa.array(np.array([xxhash.xxh64_intdigest(w) & mask for w in part], np.uint64).astype(np.int64)),
                         "term": pa.array(part, pa.binary()).cast(pa.string()),
-                        "docs": pa.array(docs, pa.int64()),
-                        "counts": pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(flat, ["source", "n"])),
+                        "docs": pa.array([seen[w] for w in part], pa.int64()),
+                        "counts": pa.ListArray.from_arrays(pa.array(bounds - bounds[0]), pa.StructArray.from_arrays(flat, ["source", "n"])),
                     })
 
         for batch in batches:
             langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = batch.column(2).cast(pa.binary())
             for i in range(len(batch)):
-                own, source = held.setdefault(langs[i], {}), sources[i]
-                for word, n in Counter(terms(texts[i].as_py())).items():
-                    seen = own.get(word)
-                    if seen is None:
-                        own[word] = {None: 1, source: n}
-                        size += 1
-                    else:
-                        seen[None] += 1
-                        if source in seen:
-                            seen[source] += n
-                        else:
-                            seen[source] = n
-                            size += 1
+                words = terms(texts[i].as_py())
+                if not words:
+                    continue
+                own = said.setdefault(langs[i], {}).setdefault(sources[i], Counter())
+                size -= len(own)
+                own.update(words)
+                size += len(own)
+                docs.setdefault(langs[i], Counter()).update(set(words))
                 if size >= HELD:
                     yield from rows()
-                    held.clear()
+                    docs.clear()
+                    said.clear()
                     size = 0
         yield from rows()
 
