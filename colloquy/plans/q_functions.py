@@ -22,7 +22,7 @@ def fn_fold(spark, sf):
 
 def document_words(spark, sf):
     """Distinct words of all documents."""
-    return V.pieces(spark, sf).select(F.explode(F.split("piece", r"[\s|.,;:!?()\"]+")).alias("word")).where(F.col("word") != "").distinct()
+    return V.exploded(V.pieces(spark, sf), F.split("piece", r"[\s|.,;:!?()\"]+"), "word").where(F.col("word") != "").distinct()
 
 
 @query("fn_phonetic_key")
@@ -42,7 +42,7 @@ def fn_edit_distance(spark, sf):
     letters = lambda c: F.regexp_replace(T.fold(c), "[^a-z]", "")
     # Folding goes letter by letter and leaves blanks, so the pieces between them fold to the pieces of the folded text.
     plain = F.transform(F.split(T.fold("piece"), r"[\s|.,;:!?()\"]+"), lambda w: F.regexp_replace(w, "[^a-z]", ""))
-    words = V.pieces(spark, sf).select(F.explode(plain).alias("word")).where(F.col("word") != "").distinct()
+    words = V.exploded(V.pieces(spark, sf), plain, "word").where(F.col("word") != "").distinct()
     terms = V.glossary(spark, sf).select(letters("term").alias("term")).where(F.col("term") != "").distinct()
     pairs = close_pairs(words, "word", terms, "term")
     longest = F.greatest(F.length("word"), F.length("term"))

@@ -200,9 +200,14 @@ def api_usage(spark: SparkSession, sf: str) -> DataFrame:
     return with_token_cost(rows, catalogue(spark))
 
 
+def exploded(df: DataFrame, values: Column, name: str, *keep: str) -> DataFrame:
+    """A row for each value that is not null; by an outer generator, as Spark works out the values of an inner one once more to filter for them."""
+    return df.select(*keep, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
+
+
 def pieces(spark: SparkSession, sf: str, keep: Column | None = None) -> DataFrame:
     """Distinct stretches of the documents between blanks, so that dear patterns read each of them once."""
-    rows = table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("piece"))
+    rows = exploded(table(spark, sf, "documents"), F.split("text", " "), "piece")
     return (rows if keep is None else rows.where(keep)).distinct()
 
 
@@ -210,7 +215,7 @@ def glossary(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct capitalised words of the documents."""
     capital = F.lower("piece") != F.col("piece")
     found = F.regexp_extract_all("piece", F.lit(r"([A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]{4,})"), F.lit(1))
-    return pieces(spark, sf, capital).select(F.explode(found).alias("term")).distinct()
+    return exploded(pieces(spark, sf, capital), found, "term").distinct()
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
