@@ -317,12 +317,10 @@ CAPS_SQL = CAPS.replace("'", "''")
     SELECT id, rank, term, h.source_id, left(d.title, 120) AS citation, left(d.text, 240) AS snippet FROM q JOIN h USING (f) JOIN d USING (source_id)""")
 def join_entity_confirm(spark, sf):
     found = V.table(spark, sf, "conversations").select(
-        F.col("conv_id").alias("id"), "turn", F.posexplode(F.regexp_extract_all("text", F.lit(f"({CAPS})"), F.lit(1))).alias("i", "term"))
+        F.col("conv_id").alias("id"), "turn", F.posexplode_outer(F.regexp_extract_all("text", F.lit(f"({CAPS})"), F.lit(1))).alias("i", "term"))
     found = found.where(F.length("term") >= 4).select("id", (F.col("turn") * 1000 + F.col("i") + 1).alias("rank"), "term", J.fold("term").alias("f"))
     cand = found.groupBy("id", "f").agg(F.min("rank").alias("rank"), F.min_by("term", "rank").alias("term")).drop("f")
-    told = V.table(spark, sf, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source_id"), F.col("source").alias("title")).unionByName(
-        V.table(spark, sf, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("source_id"), F.coalesce("url", F.lit("")).alias("title")))
-    return J.confirm_entities(cand, V.glossary(spark, sf), V.corpus(spark, sf).join(told, "source_id"))
+    return J.confirm_entities(cand, V.glossary(spark, sf), V.corpus(spark, sf))
 
 
 def _people(spark, sf):

@@ -212,20 +212,19 @@ def pieces(spark: SparkSession, sf: str, keep: Column | None = None) -> DataFram
 
 
 def glossary(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct capitalised words of the documents."""
-    capital = F.lower("piece") != F.col("piece")
-    found = F.regexp_extract_all("piece", F.lit(r"([A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]{4,})"), F.lit(1))
-    return exploded(pieces(spark, sf, capital), found, "term").distinct()
+    """Distinct capitalised words of the documents, taken from each text in place: only they are shuffled."""
+    found = F.regexp_extract_all("text", F.lit(r"([A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]{4,})"), F.lit(1))
+    return exploded(table(spark, sf, "documents"), found, "term").distinct()
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """Searchable texts: documents, and pages as plain text."""
+    """Searchable texts with their titles: documents, and pages as plain text."""
     from colloquy.functions.text import html_text
 
     docs = table(spark, sf, "documents").select(
-        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source_id"), "text")
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source_id"), F.col("source").alias("title"), "text")
     pages = table(spark, sf, "pages").select(
-        F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("source_id"), html_text("html").alias("text"))
+        F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("source_id"), F.coalesce("url", F.lit("")).alias("title"), html_text("html").alias("text"))
     return docs.unionByName(pages)
 
 
