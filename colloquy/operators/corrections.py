@@ -8,6 +8,7 @@ from bisect import bisect_left, bisect_right
 from functools import reduce
 from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,40 +46,66 @@ def betrayed(corrections: DataFrame, terms: DataFrame) -> DataFrame:
 
     ``corrections``: id, original, replacement. ``terms``: term, pos. The
     first term that sounds like the original decides: it must be in the
-    replacement. Keys meet through shared deletions.
+    replacement. Each distinct original is spelled as a sound and decided once.
     """
-    c = corrections.select("id", "original", "replacement").withColumn("key", phonetic_key("original"))
-    c = stage.cut(c, "originals").where(F.col("key") != "")
+    led = _decided(corrections.select("id", "original", "replacement"), terms)
+    return led.where(F.col("term").isNotNull() & ~_kept()).select("id", "term")
+
+
+def _kept() -> Column:
+    """Whether the replacement holds the deciding term."""
+    return (matching_form("term") != "") & F.contains(matching_form("replacement"), matching_form("term"))
+
+
+def _decided(corrections: DataFrame, terms: DataFrame) -> DataFrame:
+    """Corrections with the ``term`` that decides about their original, null if none does."""
+    c = stage.cut(corrections.select("original").distinct().withColumn("key", phonetic_key("original")), "originals").where(F.col("key") != "")
     t = terms.select(F.trim("term").alias("term"), "pos").where(F.col("term") != "").withColumn("term_key", phonetic_key("term"))
     t = stage.cut(t, "terms").where(F.col("term_key") != "")
     keys = close_pairs(c, "key", t, "term_key", BETRAY_EDITS).drop("distance")
     # The deciding term is found once per distinct key, not per correction.
     decides = keys.join(t, "term_key").groupBy("key").agg(F.min_by("term", "pos").alias("term"))
-    kept = (matching_form("term") != "") & F.contains(matching_form("replacement"), matching_form("term"))
-    return c.join(decides, "key").where(~kept).select("id", "term")
+    return corrections.join(c.join(decides, "key").select("original", "term"), "original", "left")
+
 
+class _Bases(dict):
+    """Lower-case compatibility forms of characters without their marks, by code point, as they come up."""
 
-def _base(letter: str) -> str:
-    """Lower-case compatibility form of a character without its marks."""
-    return "".join(c for c in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(c)).lower()
+    def __missing__(self, cp: int) -> str:
+        form = self[cp] = "".join(c for c in unicodedata.normalize("NFKD", chr(cp)) if not unicodedata.combining(c)).lower()
+        return form
+
+
+_BASES = _Bases()
 
 
 class _Text:
     """A text whose matching form is searched; white space matches any other."""
 
     def __init__(self, text: str):
-        self.text = text
-        table = {c: _base(c) for c in set(text)}
-        parts = [table[c] for c in text]
-        self.form, self.ends = "".join(parts), list(accumulate(map(len, parts)))
+        self.text, self.form, self._ends = text, text.translate(_BASES), None
+
+    def _span(self, start: int, end: int) -> tuple[int, int]:
+        """The stretch of the text whose form stands from ``start`` to ``end``."""
+        if self._ends is None:
+            # Most texts keep their length letter by letter, so that places in the form are those in the text.
+            same = len(self.form) == len(self.text) and all(len(_BASES[ord(c)]) == 1 for c in set(self.text))
+            self._ends = () if same else list(accumulate(len(_BASES[ord(c)]) for c in self.text))
+        return (bisect_right(self._ends, start), bisect_left(self._ends, end) + 1) if self._ends else (start, end)
 
     def places(self, quote: str) -> list[tuple[int, int]]:
         """Every stretch of the text, overlapping ones too, whose matching form is that of ``quote``."""
-        wanted = "".join(map(_base, quote)).split()
+        wanted = quote.translate(_BASES).split()
         if not wanted:
             return []
-        pattern = re.compile("(?=(" + r"\s+".join(map(re.escape, wanted)) + "))")
-        return [(bisect_right(self.ends, m.start(1)), bisect_left(self.ends, m.end(1)) + 1) for m in pattern.finditer(self.form)]
+        rest, out = re.compile(r"\s+".join(map(re.escape, wanted))), []
+        at = self.form.find(wanted[0])
+        while at >= 0:
+            m = rest.match(self.form, at)
+            if m:
+                out.append(self._span(at, m.end()))
+            at = self.form.find(wanted[0], at + 1)
+        return out
 
 
 def _stamp(c) -> tuple:
@@ -89,8 +116,10 @@ def _stamp(c) -> tuple:
 
 def _outcome(c, places) -> str:
     """Why a correction is not applied, or that it is."""
+    if c["early"]:
+        return c["early"]
     checks = (("not_found", not places), ("betrays_glossary", c["betrays"]), ("too_distant", c["share"] > MAX_EDIT_SHARE))
-    return c["early"] or next((name for name, fails in checks if fails), "applied")
+    return next((name for name, fails in checks if fails), "applied")
 
 
 def _corrected(text: str, corrections):
@@ -107,10 +136,15 @@ def _corrected(text: str, corrections):
     return now.text, log
 
 
-def _correct(frames):
-    for pdf in frames:
-        done = [(t, []) if c is None else _corrected(t, c) for t, c in zip(pdf["text"], pdf["corrections"])]
-        yield pdf.assign(text=[d[0] for d in done], log=[d[1] for d in done])[["id", "text", "log"]]
+def _correct(batches):
+    for batch in batches:
+        texts, lists = batch.column("text").to_pylist(), batch.column("corrections").to_pylist()
+        done = [(t, []) if c is None else _corrected(t, c) for t, c in zip(texts, lists)]
+        log = pa.array([[dict(zip(("seq", "outcome", "occurrences"), x)) for x in d[1]] for d in done], _LOG)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([d[0] for d in done], pa.string()), log], ["id", "text", "log"])
+
+
+_LOG = pa.list_(pa.struct([("seq", pa.int64()), ("outcome", pa.string()), ("occurrences", pa.int64())]))
 
 
 def apply_corrections(texts: DataFrame, corrections: DataFrame, terms: DataFrame) -> DataFrame:
@@ -119,16 +153,17 @@ def apply_corrections(texts: DataFrame, corrections: DataFrame, terms: DataFrame
     ``texts``: id, text. ``corrections``: id, seq, timestamp, original,
     replacement, confidence, at most some dozens per text. Checks that do not
     depend on the text are columns; only the replacing is a helper per text.
+    A correction that is rejected early is not held against the glossary.
     """
-    keyed = corrections.withColumn("cid", F.struct("id", "seq"))
-    bad = betrayed(keyed.select(F.col("cid").alias("id"), "original", "replacement"), terms).select(F.col("id").alias("cid"), F.lit(True).alias("betrays"))
-    checked = keyed.join(bad, "cid", "left").select("id", F.struct(
+    checked = stage.cut(corrections.withColumn("early", early_rejection()), "checked-early")
+    open_ = _decided(checked.where(F.col("early").isNull()), terms).withColumn("betrays", F.col("term").isNotNull() & ~_kept())
+    closed = checked.where(F.col("early").isNotNull()).withColumn("betrays", F.lit(False))
+    lists = open_.select(closed.columns).unionByName(closed).groupBy("id").agg(F.collect_list(F.struct(
         "seq", "timestamp", F.trim(F.coalesce("original", F.lit(""))).alias("original"), F.coalesce("replacement", F.lit("")).alias("replacement"),
-        early_rejection().alias("early"), F.coalesce("betrays", F.lit(False)).alias("betrays"), edit_share("original", "replacement").alias("share")).alias("c"))
-    lists = checked.groupBy("id").agg(F.collect_list("c").alias("corrections"))
+        "early", "betrays", F.when(F.col("early").isNull(), edit_share("original", "replacement")).alias("share"))).alias("corrections"))
     kind = texts.schema["id"].dataType.simpleString()
     log = "array<struct<seq:bigint,outcome:string,occurrences:bigint>>"
-    return texts.select("id", "text").join(lists, "id", "left").mapInPandas(_correct, f"id {kind}, text string, log {log}")
+    return texts.select("id", "text").join(lists, "id", "left").mapInArrow(_correct, f"id {kind}, text string, log {log}")
 
 
 LITERAL_CONFIDENCE, LITERAL_MIN_CHARS = 0.75, 3

@@ -117,8 +117,7 @@ def txt_chatter_summary(spark, sf):
 
 def proposals(spark, sf):
     """Six corrections per document with words, spread over its whole text, each made to meet another check."""
-    docs = V.table(spark, sf, "documents").select("doc_id", F.filter(F.split("text", r"[^\p{L}]+"), lambda t: F.length(t) >= 4).alias("w"))
-    docs = docs.where(F.size("w") > 0)
+    docs = V.table(spark, sf, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"(\p{L}{4,})"), F.lit(1)).alias("w"))
     at = lambda i: F.get("w", F.floor(F.size("w") * i / 6).cast("int"))
     row = lambda seq, ts, o, r, c: F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(ts).alias("timestamp"), o.alias("original"), r.alias("replacement"), F.lit(c).alias("confidence"))
     items = F.array(
@@ -128,7 +127,8 @@ def proposals(spark, sf):
         row(4, "0:10", F.concat(at(3), F.lit("qqq")), at(3), 0.95),
         row(5, "0:05", at(4), F.concat(at(4), F.lit(" et tout à fait autre chose")), 0.8),
         row(6, "0:04", at(5), F.lit(" "), 0.8))
-    return docs.select(F.col("doc_id").alias("id"), F.inline(items))
+    # Words are taken once: a test of their number, or an inner generator, would take them once more. Without words there is no original.
+    return docs.select(F.col("doc_id").alias("id"), F.inline_outer(items)).where(F.col("original").isNotNull())
 
 
 @query("txt_apply_corrections")
