@@ -95,7 +95,8 @@ def is_hold_message(normalized: Column) -> Column:
         again = [F.regexp_count(f, F.lit(p)) >= 2 for p in HOLD_REPEATED]
         return (hits >= 2) | again[0] | again[1]
 
-    return bind(fold(normalized), spoken)
+    # Two phrases, none inside another, are longer than the second shortest. Folding adds letters only to texts that are not plain.
+    return ((F.length(normalized) >= sorted(map(len, HOLD_PHRASES))[1]) | normalized.rlike(r"[^\x00-\xFF]")) & bind(fold(normalized), spoken)
 
 
 def is_hallucination(text: str = "text", compression: str = "compression_ratio") -> Column:
@@ -110,6 +111,7 @@ def is_hallucination(text: str = "text", compression: str = "compression_ratio")
 
 # Longest n-gram and fewest repeats of a decoder loop.
 LOOP_MAX_NGRAM, LOOP_MIN_REPEATS = 6, 4
+_ENOUGH_WORDS = r"\S" + r"\s++\S++" * (LOOP_MIN_REPEATS - 1)
 _BARE = r"[.,;:!?…\"'()«»]*"
 
 
@@ -142,7 +144,8 @@ def collapse_loops(text: Column | str) -> Column:
     for _ in range(LOOP_MAX_NGRAM - 1):
         arr = F.transform(arr, one_pass)
     looped = F.transform(F.array(squeezed), lambda c: c.rlike("|".join(f"(?:{_numbered(p, i)})" for i, p in enumerate(patterns, 1))))
-    return F.when(F.element_at(looped, 1), F.element_at(arr, 1)).otherwise(t)
+    # No loop without as many words as the fewest repeats, which is cheap to see.
+    return F.when(t.rlike(_ENOUGH_WORDS) & F.element_at(looped, 1), F.element_at(arr, 1)).otherwise(t)
 
 
 def _numbered(pattern: str, group: int) -> str:

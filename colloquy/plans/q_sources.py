@@ -271,7 +271,8 @@ def sink_speakers_txt(spark, sf):
 def sink_review(spark, sf):
     """Reports over the caption jobs: loops, coverage, names, terms, corrections and doubts."""
     cap = V.captions(spark, sf)
-    loops = S.loop_records(cap)
+    # Written once: three sections read the loops.
+    loops = stage.cut(S.loop_records(cap), "loops")
     jobs = cap.select("job_id").distinct()
     titles = jobs.select("job_id", F.when(F.col("job_id") % 2 == 0, F.concat(F.lit("Point "), F.col("job_id").cast("string"))).otherwise("").alias("title"))
     speakers = cap.where(F.col("speaker").isNotNull()).select("job_id", "speaker").distinct().withColumn(

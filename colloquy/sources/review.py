@@ -24,10 +24,12 @@ def _section(rows: DataFrame, no: int, title: Column | str, order: list, line: C
     """A section's title, entries (the first ``cap`` by ``order``) and closing blank line."""
     ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("job_id").orderBy(*order)))
     ranked = ranked.where(F.col("_r") <= cap) if cap else ranked
-    body = ranked.select("job_id", F.lit(no).alias("section"), F.col("_r").cast("long").alias("rank"), line.alias("line"))
-    head = F.array(*[F.struct(F.lit(r).cast("long").alias("rank"), t.alias("line")) for r, t in (
-        (-1, F.lit(title) if isinstance(title, str) else title), (0, F.lit("")), (1_000_000_000, F.lit("")))])
-    return body.unionByName(rows.select("job_id").distinct().select("job_id", F.lit(no).alias("section"), F.inline(head)))
+    entry = lambda rank, text: F.struct(F.lit(rank).cast("long").alias("rank"), text.alias("line"))
+    body = entry(F.col("_r"), line)
+    # The frame comes with a job's first entry, so that the rows are read once.
+    frame = [entry(r, t) for r, t in ((-1, F.lit(title) if isinstance(title, str) else title), (0, F.lit("")), (1_000_000_000, F.lit("")))]
+    lines = F.when(F.col("_r") == 1, F.array(*frame, body)).otherwise(F.array(body))
+    return ranked.select("job_id", F.lit(no).alias("section"), F.inline_outer(lines))
 
 
 def review(
