@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from colloquy import stage
 from colloquy import views as V
 from colloquy.functions.cost import FALLBACKS, catalogue
 from colloquy.operators import corrections as K
@@ -18,7 +19,7 @@ from colloquy.plans.registry import query
 
 def glossary_entries(spark, sf):
     """The glossary as entries, with two-word ones from neighbouring terms."""
-    g = V.glossary(spark, sf)
+    g = stage.cut(V.glossary(spark, sf), "terms")  # both kinds read it: the documents are read once
     two = g.groupBy(F.substring("term", 1, 3).alias("p")).agg(F.min("term").alias("a"), F.max("term").alias("b")).where(F.col("a") != F.col("b"))
     return g.select("term", F.col("term").alias("pos")).unionByName(two.select(F.concat_ws(" ", "a", "b").alias("term"), F.concat_ws(" ", "a", "b").alias("pos"))).select(
         "term", F.crc32("pos").alias("pos"))
